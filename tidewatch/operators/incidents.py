@@ -17,6 +17,7 @@ from tidewatch.operators.matching import keyword_techniques
 from tidewatch.operators.ordered import top_per_key, with_sessions
 from tidewatch.operators.scoring import event_severity
 from tidewatch.rules import incident as N
+from tidewatch.session import materialise
 
 IOC_FIELDS = ["command_line", "script_block_text", "message", "service_file", "source_ip", "destination_ip",
               "query_name", "image_loaded"]
@@ -411,3 +412,15 @@ def context_text(incidents: DataFrame, tl: DataFrame) -> DataFrame:
     return df.select("incident_id", text.alias("context"))
 
 
+
+
+# ---------------------------------------------------------------- whole investigation
+def investigate(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(incidents, timeline) of scored events.
+
+    The row stage (texts, regexes, rules) is computed once and written to the checkpoint folder; correlation and the
+    roll-up branches read that table, each only its own columns.
+    """
+    rows = materialise(timeline(scored))
+    tl = materialise(correlate(rows))
+    return roll_up(tl), tl

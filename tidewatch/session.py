@@ -50,3 +50,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     import uuid
 
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialise(df):
+    """Cut lineage with a reliable checkpoint, for a wide row stage that several branches read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
