@@ -18,7 +18,7 @@ def text_indicators_a(text: Column) -> Column:
     """First pattern set over a text: array<struct<type, value>>, in type order then text order."""
     parts = []
     for kind, pattern in I.IOC_PATTERNS_A.items():
-        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.trim)
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.trim(v))
         if kind == "ip":
             found = F.filter(found, lambda v: ~private_for_iocs(v))
         elif kind == "domain":
