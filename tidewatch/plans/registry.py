@@ -1,7 +1,7 @@
 """All registered queries and their reference SQL."""
 
-from tidewatch.plans import correlate, detect
+from tidewatch.plans import audit, correlate, detect
 
-MODULES = (detect, correlate)
+MODULES = (detect, correlate, audit)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
