@@ -134,7 +134,8 @@ def interpolate_minority(df: DataFrame, key: str, vector: str, copies: int = 1,
     w = Window.partitionBy("p", "_c", "_salt").orderBy("at", key)
     near = F.array_compact(F.array(*[f(F.struct(F.col(key).alias("k"), F.col(vector).alias("v")), i).over(w)
                                      for i in range(1, neighbours + 1) for f in (F.lag, F.lead)]))
-    cand = lined.select(key, F.col(vector).alias("_v"), F.explode(near).alias("n"))
+    lined = lined.withColumn("_near", near)
+    cand = lined.select(key, F.col(vector).alias("_v"), F.explode("_near").alias("n"))
     gap = F.aggregate(F.zip_with("_v", "n.v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     cand = cand.withColumn("gap", gap).groupBy(key, F.col("n.k").alias("nk")).agg(
         F.min("gap").alias("gap"), F.first("_v").alias("_v"), F.first("n.v").alias("_n"))
