@@ -126,11 +126,16 @@ def interpolate_minority(df: DataFrame, key: str, vector: str, copies: int = 1,
     lined = df.select(key, vector, F.explode(F.array(*[F.struct(F.lit(p).alias("p"), direction(p).alias("at"))
                                                        for p in range(planes)])).alias("d")).select(
         key, vector, "d.p", "d.at")
-    cuts = lined.groupBy("p").agg(F.array_distinct(F.percentile_approx("at", F.array(*[
-        F.lit(i / chunks) for i in range(1, chunks)]), F.lit(1000))).alias("_cuts"))
+    grid = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
+    cuts = lined.groupBy("p").agg(F.array_distinct(F.percentile_approx("at", grid, F.lit(1000))).alias("_q"),
+                                  F.count(F.lit(1)).alias("_n"))
+    # few rows need few chunks: keep every k-th cut so that a chunk holds about a hundred rows at least
+    stride = F.greatest(F.ceil(F.lit(100 * chunks) / F.col("_n")), F.lit(1))
+    cuts = cuts.withColumn("_k", stride).select("p", F.filter("_q", lambda e, i: (i + 1) % F.col("_k") == 0).alias("_cuts"))
     lined = lined.join(cuts, "p").withColumn("_c", F.size(F.filter("_cuts", lambda e: e <= F.col("at")))).drop("_cuts")
-    # a long run of one vector shares a position; a salt keeps such a run from landing in one task
-    lined = lined.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(8)))
+    # a long run of one vector shares a position; chunks over a thousand rows are dealt out by key hash
+    sizes = lined.groupBy("p", "_c").agg(F.ceil(F.count(F.lit(1)) / 1000).alias("_parts"))
+    lined = lined.join(sizes, ["p", "_c"]).withColumn("_salt", F.pmod(F.xxhash64(key), F.col("_parts"))).drop("_parts")
     w = Window.partitionBy("p", "_c", "_salt").orderBy("at", key)
     near = F.array_compact(F.array(*[f(F.struct(F.col(key).alias("k"), F.col(vector).alias("v")), i).over(w)
                                      for i in range(1, neighbours + 1) for f in (F.lag, F.lead)]))

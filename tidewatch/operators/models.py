@@ -61,30 +61,30 @@ def score(model: PipelineModel, df: DataFrame, name: str = "p", threshold: float
 
 
 def platt(pipeline: Pipeline, df: DataFrame, fold: str = "fold", folds: int = 3, label: str = "label"):
-    """Per fold: fit on the others, calibrate on the fold with a logistic curve over the raw margin. The returned
-    models are averaged by `score_calibrated`."""
-    pairs = []
+    """Per fold: fit on the others, fit a logistic curve over the raw margin of the fold. Returns (model, slope,
+    intercept) triples, averaged by `score_calibrated`."""
+    triples = []
     for k in range(folds):
         base = pipeline.fit(df.where(F.col(fold) % folds != k))
-        held = _margin(base, df.where(F.col(fold) % folds == k))
-        pairs.append((base, LogisticRegression(featuresCol="margin", labelCol=label).fit(held)))
-    return pairs
+        held = _margin(base, df.where(F.col(fold) % folds == k)).withColumn("curve_in", array_to_vector(F.array("margin")))
+        curve = LogisticRegression(featuresCol="curve_in", labelCol=label).fit(held)
+        triples.append((base, float(curve.coefficients[0]), float(curve.intercept)))
+    return triples
 
 
 def _margin(model: PipelineModel, df: DataFrame) -> DataFrame:
     out = model.transform(df)
-    return out.withColumn("margin", array_to_vector(F.array(vector_to_array("rawPrediction")[1]))).drop(
+    return out.withColumn("margin", vector_to_array("rawPrediction")[1]).drop(
         "raw_features", "features", "rawPrediction", "probability", "prediction")
 
 
-def score_calibrated(pairs, df: DataFrame, name: str = "p") -> DataFrame:
+def score_calibrated(triples, df: DataFrame, name: str = "p") -> DataFrame:
+    """Mean of the calibrated probabilities of the fold models."""
     out, parts = df, []
-    for i, (base, curve) in enumerate(pairs):
-        step = curve.transform(_margin(base, out))
-        out = step.withColumn(f"_p{i}", vector_to_array("probability")[1]).drop("margin", "rawPrediction", "probability",
-                                                                                "prediction")
+    for i, (base, slope, intercept) in enumerate(triples):
+        out = _margin(base, out).withColumn(f"_p{i}", 1 / (1 + F.exp(-(F.col("margin") * slope + intercept)))).drop("margin")
         parts.append(F.col(f"_p{i}"))
-    return out.withColumn(name, sum(parts[1:], parts[0]) / len(parts)).drop(*[f"_p{i}" for i in range(len(pairs))])
+    return out.withColumn(name, sum(parts[1:], parts[0]) / len(parts)).drop(*[f"_p{i}" for i in range(len(parts))])
 
 
 def cross_validate(pipeline: Pipeline, df: DataFrame, folds: int = 5, fold: str = "fold", label: str = "label"):

@@ -161,16 +161,14 @@ def chunk_coverage(spark, sf):
 
 
 def query_vectors(spark, sf):
-    """The mean vector of each label class is the query set: ten queries."""
-    e = load(spark, sf, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
-    m = e.groupBy("label", "i").agg(F.avg("x").alias("x"))
-    return m.groupBy(F.col("label").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))),
-                                                                        lambda s: s["x"]).alias("query_vector"))
+    """One query per label class: the vector with the lowest id."""
+    e = load(spark, sf, "embeddings")
+    return e.groupBy(F.col("label").alias("query_id")).agg(F.min_by(F.col("embedding").cast("array<double>"), "vec_id").alias(
+        "query_vector"))
 
 
-_QV = ("u AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, embedding FROM embeddings), qm AS (SELECT label AS query_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM u "
-       "GROUP BY ALL), qv AS (SELECT query_id, list(x ORDER BY i) AS q FROM qm GROUP BY 1), s AS (SELECT query_id, vec_id, list_inner_product(q, CAST(embedding AS "
-       "DOUBLE[])) AS score FROM qv, embeddings)")
+_QV = ("qv AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY 1), s AS (SELECT query_id, vec_id, "
+       "list_inner_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM qv, embeddings)")
 
 
 @query("vector_top_k", f"WITH {_QV} SELECT query_id, vec_id, {r6('score')} AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5")
