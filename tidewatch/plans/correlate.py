@@ -280,8 +280,8 @@ def manager_stats(spark, sf):
 _ITEXT = "concat(' ', lower(command_line), ' ', lower(process_name))"
 _TYPE_ROWS = " UNION ALL ".join(
     f"SELECT incident_id, {o} AS o, {lit(name)} AS kind, " + " + ".join(
-        [f"0.3 * {w} * len(list_intersect(techs, [{', '.join(lit(t) for t in techs)}]))"] +
-        [f"CASE WHEN {pf} THEN 0.2 * {w} ELSE 0 END" for pf in [f"p_{o}_{j}" for j in range(len(pats))]]) + " AS s FROM iv"
+        [f"(CAST(len(list_intersect(techs, [{', '.join(lit(t) for t in techs)}])) AS DOUBLE) * CAST('0.3' AS DOUBLE)) * CAST('{w}' AS DOUBLE)"] +
+        [f"CASE WHEN {pf} THEN CAST('{0.2 * w!r}' AS DOUBLE) ELSE CAST(0 AS DOUBLE) END" for pf in [f"p_{o}_{j}" for j in range(len(pats))]]) + " AS s FROM iv"
     for o, (name, techs, pats, w, _) in enumerate(A.INCIDENT_TYPES))
 _FLAGS = ", ".join(f"bool_or(regexp_matches({_ITEXT}, {lit(p)})) AS p_{o}_{j}" for o, (_, _, ps, _, _) in enumerate(
     A.INCIDENT_TYPES) for j, p in enumerate(ps))
@@ -294,7 +294,7 @@ _SECOND = (f"{se()}, {_CLASSIFIED}, {sessions_sql('se')}, {PATTERN_HITS}, cl AS
            "LEFT JOIN te USING (incident_id)), "
            f"ty AS ({_TYPE_ROWS}), tot AS (SELECT incident_id, sum(s) AS total FROM ty GROUP BY 1), best AS (SELECT ty.incident_id, "
            "kind, CASE WHEN total > 0 THEN s / total ELSE 0 END AS share FROM ty JOIN tot USING (incident_id) QUALIFY "
-           "row_number() OVER (PARTITION BY ty.incident_id ORDER BY round(s, 9) DESC, o) = 1), "
+           "row_number() OVER (PARTITION BY ty.incident_id ORDER BY s DESC, o) = 1), "
            "sv AS (SELECT incident_id, count(*) AS rows_, count(CASE WHEN sev IN ('high', 'critical') THEN 1 END) AS hi, "
            "count(CASE WHEN sev = 'critical' THEN 1 END) AS cr FROM tlx GROUP BY 1)")
 

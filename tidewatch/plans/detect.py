@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import net
-from tidewatch.functions.text import nz, shannon_entropy, unique_ratio
+from tidewatch.functions.text import nz, pin, shannon_entropy, unique_ratio
 from tidewatch.operators import assess, features, matching, scoring
 from tidewatch.plans.oracle_base import (
     ANOMALOUS, ROUTED, SCORED, TEXTS, among, any_prefix, any_regex, any_word, base, big, lit, n_words, r6, se, yes)
@@ -496,7 +496,7 @@ _SIG = (f"{se()}, {PATTERN_HITS}, {TEXTS}, mt AS (SELECT event_key, count(*) AS
 
 def signals(spark, sf):
     """Events with the four signals: the given score, an address verdict, the matched patterns, a verdict by type."""
-    ev = events(spark, sf)
+    ev = events(spark, sf).withColumn("_techniques", pin(matching.pattern_techniques()))
     bad_ip = F.startswith("source_ip", F.lit("185.220.101.1"))
     agent = lambda v: F.struct(F.lit(v).alias("verdict"), F.lit(0.9).alias("confidence"),
                                F.array(F.lit("search_logs")).alias("tools_used"), F.lit(3).alias("reasoning_steps"))
@@ -506,7 +506,7 @@ def signals(spark, sf):
             F.when(bad_ip, 0.8).otherwise(0.2).alias("score"), bad_ip.alias("is_malicious"),
             F.when(bad_ip, F.array(F.lit("VirusTotal"), F.lit("local"))).otherwise(F.array().cast("array<string>")).alias(
                 "providers_hit"), F.lit(1).alias("indicator_count"))),
-        "mitre": assess.mitre_signal(matching.pattern_techniques()),
+        "mitre": pin(assess.mitre_signal(F.col("_techniques"))),
         "agent": F.when(F.col("event_type") == "click", agent("FALSE_POSITIVE")).when(
             F.col("event_type") == "error", agent("MALICIOUS"))})
 
