@@ -27,9 +27,10 @@ def text_indicators_a(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def event_indicators_a(text_fields: list[str], process: str = "process_name") -> Column:
+def event_indicators_a(text_fields: list[str], process: str = "process_name", combined: Column | None = None) -> Column:
     """First pattern set over several event fields, plus known attack tools by process name."""
-    combined = F.concat_ws(" ", *[F.when(nz(c) != "", nz(c)) for c in text_fields])
+    if combined is None:
+        combined = F.concat_ws(" ", *[F.when(nz(c) != "", nz(c)) for c in text_fields])
     tool = F.when(has_any(low(process), I.TOOL_PROCESSES),
                   F.array(F.struct(F.lit("process").alias("type"), nz(process).alias("value"))))
     empty = F.array().cast("array<struct<type:string,value:string>>")

@@ -13,16 +13,12 @@ from pyspark.sql import functions as F
 from tidewatch.functions.ioc import event_indicators_a
 from tidewatch.functions.text import (
     any_of, cut, filled, has, has_any, indicator_uid, joined, listed, nz, percent, pin, safe_int)
-from tidewatch.operators.matching import keyword_techniques
+from tidewatch.operators.matching import IOC_FIELDS, keyword_techniques, stage_texts, text_of
 from tidewatch.operators.ordered import top_per_key, with_sessions
 from tidewatch.operators.scoring import event_severity
 from tidewatch.rules import incident as N
 from tidewatch.session import materialise
 
-IOC_FIELDS = ["command_line", "script_block_text", "message", "service_file", "source_ip", "destination_ip",
-              "query_name", "image_loaded"]
-
-
 def incident_id(host: Column, start_us: Column) -> Column:
     """IR-yyyymmdd-XXXXXX; the suffix is a digest of host and session start, so reruns give the same id."""
     day = F.date_format(F.timestamp_micros(start_us), "yyyyMMdd")
@@ -37,10 +33,10 @@ def correlate(df: DataFrame, host: str = "hostname", ts: str = "event_ts", gap_m
 
 
 # ---------------------------------------------------------------- event interpretation
-def interpret() -> Column:
+def interpret(staged: bool = False) -> Column:
     """struct<phase, description>: first case that fits, in fixed order."""
     proc, cmd, user, action = nz("process_name"), nz("command_line"), nz("user"), nz("action")
-    text, eid = F.lower(F.concat_ws(" ", proc, cmd, action)), safe_int("event_id")
+    text, eid = text_of("phase", staged), safe_int("event_id")
     says = lambda phase: has_any(text, N.PHASE_WORDS[phase])
     row = lambda phase, *parts: F.struct(F.lit(phase).alias("phase"), F.concat(
         *[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("description"))
@@ -74,8 +70,9 @@ def timeline(df: DataFrame, keep: tuple[str, ...] = ("incident_id", "event_key",
     """One row per event: phase, description, severity, technique ids and indicators. Scan-stage only."""
     eid = safe_int("event_id")
     kind = F.when(filled("action"), nz("action")).otherwise(F.concat(F.lit("event_"), eid.cast("string")))
-    out = df.withColumns({"_i": pin(interpret()), "_techniques": pin(keyword_techniques()),
-                          "_iocs": pin(event_indicators_a(IOC_FIELDS))})
+    out = stage_texts(df, "kw", "phase", "ioc").withColumns({
+        "_i": pin(interpret(True)), "_techniques": pin(keyword_techniques(True)),
+        "_iocs": pin(event_indicators_a(IOC_FIELDS, combined=text_of("ioc", True)))})
     return out.select(
         *[c for c in keep if c in df.columns], "event_id", "process_name", "command_line", "logon_type",
         kind.alias("entry_type"), F.col("_i.phase").alias("phase"), F.col("_i.description").alias("description"),

@@ -9,18 +9,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.ioc import indicator_type
-from tidewatch.functions.text import has, has_any, low, nz, safe_int, search
+from tidewatch.functions.text import has, has_any, low, nz, pin, safe_int, search
 from tidewatch.operators.ordered import top_per_key
 from tidewatch.rules import attack as A
 from tidewatch.rules import intel as I
 from tidewatch.rules import labels as L
 
 
+# ---------------------------------------------------------------- shared texts
+STAGE = "_m_"
+
+
+def _texts() -> dict[str, Column]:
+    join = lambda *cs: F.concat_ws(" ", *[F.when(nz(c) != "", nz(c)) for c in cs])
+    return {"cmd": low("command_line"), "proc": low("process_name"), "parent": low("parent_image"),
+            "kw": F.lower(join("command_line", "process_name", "script_block_text", "action")),
+            "phase": F.lower(F.concat_ws(" ", nz("process_name"), nz("command_line"), nz("action"))),
+            "ioc": join(*IOC_FIELDS)}
+
+
+IOC_FIELDS = ["command_line", "script_block_text", "message", "service_file", "source_ip", "destination_ip",
+              "query_name", "image_loaded"]
+
+
+def stage_texts(df: DataFrame, *names: str) -> DataFrame:
+    """Compute the texts the rules search once per row; the rules then read them with staged=True. Without this every
+    rule would build its text again, as conditional branches share nothing."""
+    texts = _texts()
+    return df.withColumns({STAGE + n: pin(texts[n]) for n in (names or texts)})
+
+
+def text_of(name: str, staged: bool) -> Column:
+    return F.col(STAGE + name) if staged else _texts()[name]
+
+
+def drop_texts(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(STAGE)])
+
+
 # ---------------------------------------------------------------- keyword techniques
-def keyword_techniques() -> Column:
+def keyword_techniques(staged: bool = False) -> Column:
     """array<struct<rule_order, id, name, tactic>>: techniques whose keyword occurs or equals the event id."""
-    text = F.lower(F.concat_ws(" ", *[F.when(nz(c) != "", nz(c)) for c in (
-        "command_line", "process_name", "script_block_text", "action")]))
+    text = text_of("kw", staged)
     eid = nz("event_id")
     by_id: dict[str, list[tuple[int, str, str, str]]] = {}
     for i, (word, tid, name, tactic) in enumerate(A.KEYWORD_TECHNIQUES):
@@ -37,9 +67,9 @@ def keyword_techniques() -> Column:
 
 
 # ---------------------------------------------------------------- pattern techniques
-def pattern_techniques() -> Column:
+def pattern_techniques(staged: bool = False) -> Column:
     """array<struct<rule_order, id, name, tactic, confidence, evidence>> with additive confidence, floor 0.3, cap 1."""
-    cmd, proc, parent = low("command_line"), low("process_name"), low("parent_image")
+    cmd, proc, parent = (text_of(n, staged) for n in ("cmd", "proc", "parent"))
     eid, logon, port = safe_int("event_id"), safe_int("logon_type"), safe_int("destination_port")
     w = A.EVIDENCE_WEIGHT
     out = []

@@ -71,37 +71,61 @@ def unit_chunk(column: str | Column, chunks: int = 1024) -> Column:
     return F.least(F.greatest(F.floor(c * chunks), F.lit(0)), F.lit(chunks - 1))
 
 
-def split_points(df: DataFrame, keys: list[str], value: str, chunks: int = 128) -> DataFrame:
-    """One row per key: approximate inner quantiles that cut the value axis into chunks. Exactness never rests on
-    them; they only balance the work."""
-    probs = [i / chunks for i in range(1, chunks)]
-    return df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(
-        F.col(value).cast("double"), F.array(*[F.lit(p) for p in probs]), F.lit(10000))).alias("_cuts"))
+GRID = 11
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], chunks: int = 128) -> DataFrame:
+def split_points(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row per key: approximate quantiles that cut the value axis, as a coarse grid and the finer cuts inside each
+    coarse cell. Exactness never rests on them; they only balance the work."""
+    n = GRID * GRID
+    grid = F.array(*[F.lit(i / n) for i in range(1, n)])
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), grid, F.lit(10000)).alias("_q"))
+    coarse = F.array(*[F.col("_q")[i * GRID - 1] for i in range(1, GRID)])
+    fine = F.array(*[F.slice("_q", i * GRID + 1, GRID - 1) for i in range(GRID)])
+    return cuts.select(*keys, coarse.alias("_coarse"), fine.alias("_fine"))
+
+
+def with_cells(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the cell number of a value against the two-level grid; it does not decrease with the value. Plain
+    comparisons, so the search stays in generated code."""
+    at_least = lambda cuts: sum((F.coalesce(F.get(cuts, F.lit(i)) <= F.col(value), F.lit(False)).cast("int")
+                                 for i in range(GRID - 1)), F.lit(0))
+    out = df.withColumn("_upper", at_least(F.col("_coarse")))
+    out = out.withColumn("_row", F.get("_fine", F.col("_upper")))
+    return out.withColumn(name, F.col("_upper") * GRID + at_least(F.col("_row"))).drop("_upper", "_row", "_coarse", "_fine")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """(keys, n, q: array<double>) with linear interpolation, exact, without holding a group's values in one task.
 
-    Values collapse to distinct values with counts, chunks come from a mergeable sketch, and only the two order
-    statistics around each rank are looked up.
+    Values collapse to distinct values with counts, cells come from a mergeable sketch, and only the cells that hold a
+    wanted rank are ordered.
     """
-    clean = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     one = keys or ["_one"]
+    clean = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     if not keys:
         clean = clean.withColumn("_one", F.lit(1))
     counts = clean.groupBy(*one, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    cuts = split_points(counts, one, "_v", chunks)
-    marked = counts.join(cuts, one).withColumn("_c", F.size(F.filter("_cuts", lambda e: e <= F.col("_v")))).drop("_cuts")
-    ranked = running_totals(marked, one, "_v", ["_n"], F.col("_c"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in
-                                 enumerate(probs)]))
-    picks = ranked.select(*one, "_v", "cum__n", F.col("tot__n").alias("n"), (F.col("cum__n") - F.col("_n")).alias(
-        "_from"), wanted.alias("_w"))
-    pos = F.col("_w.p") * (F.col("n") - 1)
-    lo, hi = F.floor(pos), F.least(F.floor(pos) + 1, F.col("n") - 1)
-    inside = lambda r: (r >= F.col("_from")) & (r < F.col("cum__n"))
-    picks = picks.where(inside(lo) | inside(hi)).withColumns({
-        "_lo": F.when(inside(lo), F.col("_v")), "_hi": F.when(inside(hi), F.col("_v")), "_frac": pos - lo})
+    marked = with_cells(counts.join(split_points(counts, one, "_v"), one), "_v", "_c")
+    sizes = marked.groupBy(*one, "_c").agg(F.sum("_n").alias("_size"))
+    before = Window.partitionBy(*one).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"_off": F.coalesce(F.sum("_size").over(before), F.lit(0)),
+                               "n": F.sum("_size").over(Window.partitionBy(*one))})
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    lo = lambda w: F.floor(w["p"] * (F.col("n") - 1))
+    hi = lambda w: F.least(lo(w) + 1, F.col("n") - 1)
+    within = lambda r, start, end: (r >= start) & (r < end)
+    held = lambda start, end: F.filter(wanted, lambda w: within(lo(w), start, end) | within(hi(w), start, end))
+    needed = sizes.withColumn("_w", held(F.col("_off"), F.col("_off") + F.col("_size"))).where(F.size("_w") > 0)
+    rows = _join_chunks(marked, needed.select(*one, "_c", "_off", "n"), one + ["_c"])
+    run = Window.partitionBy(*one, "_c").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_to", F.col("_off") + F.sum("_n").over(run)).withColumn("_from", F.col("_to") - F.col("_n"))
+    rows = rows.withColumn("_w", held(F.col("_from"), F.col("_to")))
+    picks = rows.select(*one, "n", "_v", "_from", "_to", F.explode("_w").alias("_w"))
+    w = {"p": F.col("_w.p")}
+    picks = picks.withColumns({
+        "_lo": F.when(within(lo(w), F.col("_from"), F.col("_to")), F.col("_v")),
+        "_hi": F.when(within(hi(w), F.col("_from"), F.col("_to")), F.col("_v")), "_frac": w["p"] * (F.col("n") - 1) - lo(w)})
     solved = picks.groupBy(*one, "n", F.col("_w.i").alias("i")).agg(
         (F.max("_lo") + (F.max("_hi") - F.max("_lo")) * F.max("_frac")).alias("q"))
     out = solved.groupBy(*one, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))),

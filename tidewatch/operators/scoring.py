@@ -186,8 +186,11 @@ def heuristic18(f: dict[str, Column], compat: bool = True) -> tuple[Column, Colu
 
 
 # ---------------------------------------------------------------- predicates and routing
-def is_anomalous() -> Column:
-    cmd, script, proc, eid = low("command_line"), low("script_block_text"), low("process_name"), safe_int("event_id")
+def is_anomalous(staged: bool = False) -> Column:
+    """Signs that open the deep path; `staged` reads the lower-case texts that `route` computes once per row."""
+    cmd, script, proc = (F.col(f"_a_{c}") if staged else low(c) for c in ("command_line", "script_block_text",
+                                                                         "process_name"))
+    eid = safe_int("event_id")
     tool = has_any(proc, D.ANOMALY_PROCESSES) & ((F.length(cmd) > 100) | has_any(cmd, D.ANOMALY_CONTEXT))
     outside = filled("source_ip") & ~starts_any(nz("source_ip"), ["10.", "192.168.", "172."])
     return (has_any(cmd, D.ANOMALY_KEYWORDS) | has_any(script, D.ANOMALY_KEYWORDS) | tool | (eid == 7045)
@@ -198,9 +201,11 @@ def is_anomalous() -> Column:
 def route(df: DataFrame, benign: float = 0.5, certain: float = 0.8) -> DataFrame:
     """Adds `path` (fast/deep) and `classification` (benign/malicious) to scored events."""
     s = F.col("ml_score")
-    deep = (s >= benign) & (s < certain) & is_anomalous()
-    return df.withColumns({"classification": F.when(s >= benign, "malicious").otherwise("benign"),
-                           "path": F.when(deep, "deep").otherwise("fast")})
+    texts = ("command_line", "script_block_text", "process_name")
+    staged = df.withColumns({f"_a_{c}": pin(low(c)) for c in texts})
+    deep = (s >= benign) & (s < certain) & is_anomalous(staged=True)
+    return staged.withColumns({"classification": F.when(s >= benign, "malicious").otherwise("benign"),
+                               "path": F.when(deep, "deep").otherwise("fast")}).drop(*[f"_a_{c}" for c in texts])
 
 
 def should_forward(severity: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import sinks
 from tidewatch.functions import ioc
-from tidewatch.functions.text import nz
+from tidewatch.functions.text import nz, pin
 from tidewatch.operators import features, incidents, matching, quality, scoring
 from tidewatch.operators.ordered import top_per_key
 from tidewatch.plans.detect import (
@@ -109,7 +109,9 @@ _IOCS = (ioc_a_sql("cb", "event_key", "txt").replace("ia0 AS (", f"cb AS (SELECT
 
 @query("event_indicators", f"WITH {se()}, {_IOCS} SELECT event_key, type, value, count(*) AS n FROM ei GROUP BY ALL")
 def event_indicators(spark, sf):
-    rows = events(spark, sf).select("event_key", F.explode(ioc.event_indicators_a(incidents.IOC_FIELDS)).alias("i"))
+    ev = matching.stage_texts(events(spark, sf), "ioc")
+    rows = ev.select("event_key", F.explode(ioc.event_indicators_a(incidents.IOC_FIELDS, combined=matching.text_of(
+        "ioc", True))).alias("i"))
     return rows.groupBy("event_key", F.col("i.type").alias("type"), F.col("i.value").alias("value")).agg(
         F.count(F.lit(1)).alias("n"))
 
@@ -304,8 +306,9 @@ def second_timeline(spark, sf):
     f = features.v1_18(events(spark, sf))
     p, label, conf, _ = scoring.heuristic18({n: F.col(n) for n in features.V1_NAMES})
     ioc_text = F.concat_ws(" ", *[nz(c) for c in ("command_line", "destination_ip", "source_ip", "hashes")])
-    rows = f.withColumns({"label": label, "confidence": conf, "techniques": matching.pattern_techniques(),
-                          "iocs": ioc.text_indicators_b(ioc_text)})
+    f = matching.stage_texts(f, "cmd", "proc", "parent").withColumn("_ioc_text", pin(ioc_text))
+    rows = f.withColumns({"label": label, "confidence": conf, "techniques": pin(matching.pattern_techniques(True)),
+                          "iocs": pin(ioc.text_indicators_b(F.col("_ioc_text")))})
     rows = rows.withColumn("severity", scoring.classified_severity(F.col("label"), F.col("confidence"), nz("command_line")))
     return materialise(incidents.correlate(materialise(rows.select(
         "event_key", "event_ts", "hostname", "user", "command_line", "process_name", "label", "confidence", "severity",

@@ -258,7 +258,7 @@ KEYWORD_HITS = (
 
 @query("keyword_techniques", f"WITH {se()}, {KEYWORD_HITS} SELECT event_key, id, name, tactic FROM kh")
 def keyword_techniques(spark, sf):
-    return matching.explode_techniques(events(spark, sf), matching.keyword_techniques(), ["event_key"]).select(
+    return matching.explode_techniques(matching.stage_texts(events(spark, sf), "kw"), matching.keyword_techniques(True), ["event_key"]).select(
         "event_key", "id", "name", "tactic")
 
 
@@ -287,7 +287,8 @@ PATTERN_HITS = ("ev AS (" + " UNION ALL ".join(
 @query("pattern_techniques", f"WITH {se()}, {PATTERN_HITS} SELECT event_key, id, name, tactic, {r6('confidence')} AS "
        f"confidence, {big('n_evidence')} AS n_evidence FROM ph")
 def pattern_techniques(spark, sf):
-    return matching.explode_techniques(events(spark, sf), matching.pattern_techniques(), ["event_key"]).select(
+    return matching.explode_techniques(matching.stage_texts(events(spark, sf), "cmd", "proc", "parent"), matching.pattern_techniques(True),
+                                       ["event_key"]).select(
         "event_key", "id", "name", "tactic", r("confidence").alias("confidence"), b(F.size("evidence")).alias("n_evidence"))
 
 
@@ -496,7 +497,8 @@ _SIG = (f"{se()}, {PATTERN_HITS}, {TEXTS}, mt AS (SELECT event_key, count(*) AS
 
 def signals(spark, sf):
     """Events with the four signals: the given score, an address verdict, the matched patterns, a verdict by type."""
-    ev = events(spark, sf).withColumn("_techniques", pin(matching.pattern_techniques()))
+    ev = matching.stage_texts(events(spark, sf), "cmd", "proc", "parent").withColumn("_techniques", pin(
+        matching.pattern_techniques(True)))
     bad_ip = F.startswith("source_ip", F.lit("185.220.101.1"))
     agent = lambda v: F.struct(F.lit(v).alias("verdict"), F.lit(0.9).alias("confidence"),
                                F.array(F.lit("search_logs")).alias("tools_used"), F.lit(3).alias("reasoning_steps"))

@@ -53,6 +53,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df):
-    """Cut lineage with a reliable checkpoint, for a wide row stage that several branches read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut lineage by writing the rows to a table in the shared checkpoint folder and reading it back.
+
+    For a wide row stage that several branches read: it is computed once, each branch scans only its own columns, and a
+    lost executor costs a re-read, not a recompute. (A plain checkpoint would run the stage twice and keep all columns.)
+    """
+    path = shared_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
