@@ -329,6 +329,8 @@ def report_text(incidents: DataFrame, tl: DataFrame, entries: int = 1000) -> Dat
         field("Classification:  ", F.col("classification")), field("Created:         ", F.col("created_at").cast("string")),
         lit(""), block("CLASSIFICATION"), F.col("classification"), lit(""), block("ATTACK TIMELINE"),
         F.array_join(F.transform("entries", entry), "\n"),
+        F.when(F.col("event_count") > entries, F.concat(lit("  ... and "), (F.col("event_count") - entries).cast(
+            "string"), lit(" more events in the timeline table"))),
         F.when(F.col("n_iocs") > 0, _lines(block("INDICATORS OF COMPROMISE (IoCs)"), F.array_join(by_kind, "\n"),
                                            lit(""))),
         F.when(F.col("n_techniques") > 0, _lines(block("MITRE ATT&CK MAPPING"), F.array_join(tech, "\n"), lit(""))),

@@ -136,7 +136,9 @@ def investigation_report(rolled: DataFrame, tl: DataFrame) -> DataFrame:
         field("Hosts Affected:   ", c("hosts").cast("string")),
         field("Users Affected:   ", F.size("affected_users").cast("string")), lit(rule), lit("EXECUTIVE SUMMARY"),
         summary, lit("KEY FINDINGS:"), numbered("key_findings"), lit(rule), lit("ATTACK TIMELINE"),
-        F.coalesce(F.array_join(F.transform("entries", entry), "\n"), lit("No significant events in timeline.")), lit(rule),
+        F.coalesce(F.array_join(F.transform("entries", entry), "\n"), lit("No significant events in timeline.")),
+        F.when(c("rows_shown") > 20, F.concat(lit("... and "), (c("rows_shown") - 20).cast("string"), lit(" more events"))),
+        lit(rule),
         lit("INDICATORS OF COMPROMISE (IoCs)"), field("Total IoCs Extracted: ", c("n_iocs").cast("string")), ioc_text,
         lit(rule), lit("MITRE ATT&CK MAPPING"),
         field("Techniques Identified: ", F.size("technique_ids").cast("string")), F.array_join(tactics, "\n"), lit(rule),
