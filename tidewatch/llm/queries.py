@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import chat, fingerprints, packing, secrets, sequences
+from tidewatch.llm import chat, fingerprints, ngram_join, packing, secrets, sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": ngram_join.op1,
     "op2_token_sequences": sequences.op2,
     "op4_secret_scans": secrets.op4,
     "op8_chat_formatting": chat.op8,
