@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import chat, decontaminate, fingerprints, ngram_join, packing, quality, secrets, sequences
+from tidewatch.llm import chat, decontaminate, fingerprints, language, ngram_join, packing, quality, secrets, sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1,
     "op2_token_sequences": sequences.op2,
+    "op3_language_id": language.op3,
     "op4_secret_scans": secrets.op4,
     "op5_benchmark_decontamination": decontaminate.op5,
     "op6_quality_classifier": quality.op6,
