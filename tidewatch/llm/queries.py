@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import chat, decontaminate, fingerprints, language, ngram_join, packing, quality, secrets, sequences
+from tidewatch.llm import chat, decontaminate, fingerprints, katz, language, ngram_join, packing, quality, secrets, sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scans": secrets.op4,
     "op5_benchmark_decontamination": decontaminate.op5,
     "op6_quality_classifier": quality.op6,
+    "op7_lm_scoring": katz.op7,
     "op8_chat_formatting": chat.op8,
     "op9_best_fit_packing": packing.op9,
     "op10_document_fingerprints": fingerprints.op10,
