@@ -124,7 +124,11 @@ def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES)
 
 
 def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`versions` without its text, with blob and spans (empty when nothing was found), after bringing the ledger up to date."""
+    """`versions` without its text, with blob and spans (empty when nothing was found), after bringing the ledger up to date.
+
+    Columns of these two names in `versions` are replaced.
+    """
+    versions = versions.drop("blob", "spans")
     update_ledger(versions, ledger, rules)
     found = findings(versions.sparkSession, ledger, rules)
     none = F.array().cast("array<struct<rule:string,start:int,end:int>>")
@@ -150,7 +154,8 @@ def redact(docs: DataFrame, ledger: str, mask: str = "[secret]", rules: tuple[Ru
     """The documents with every found span replaced by `mask`; spans that overlap are replaced as one."""
     update_ledger(docs, ledger, rules)
     found = findings(docs.sparkSession, ledger, rules)
-    joined = with_blob(docs).join(found, "blob", "left")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    joined = with_blob(whole).join(found, "blob", "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -160,7 +165,8 @@ def redact(docs: DataFrame, ledger: str, mask: str = "[secret]", rules: tuple[Ru
 
     spans = ordered_spans(F.col("spans"), rules)
     cleaned = F.aggregate(spans, start, cut, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns)
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cleaned)
+    return joined.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
