@@ -20,9 +20,12 @@ from tidewatch.rules import incident as N
 from tidewatch.session import materialise
 
 def incident_id(host: Column, start_us: Column) -> Column:
-    """IR-yyyymmdd-XXXXXX; the suffix is a digest of host and session start, so reruns give the same id."""
+    """IR-yyyymmdd-<32 hex digits>; the suffix is a digest of host and session start, so reruns give the same id.
+
+    It is kept whole because incidents group and join by it: six digits meet by chance within some thousand sessions a day.
+    """
     day = F.date_format(F.timestamp_micros(start_us), "yyyyMMdd")
-    tail = F.upper(F.substring(F.md5(F.concat(host, F.lit("|"), start_us.cast("string"))), 1, 6))
+    tail = F.upper(F.md5(F.concat(host, F.lit("|"), start_us.cast("string"))))
     return F.concat(F.lit("IR-"), day, F.lit("-"), tail)
 
 

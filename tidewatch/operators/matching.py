@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.ioc import indicator_type
@@ -156,11 +156,30 @@ def _as_json(block: list[tuple]) -> str:
                        for i, n, t, kws in block])
 
 
+def _java_pattern(spark: SparkSession, pattern: str) -> str | None:
+    """The pattern as Java reads it, or None when it is no pattern. Braces that repeat nothing are literal, and {,n} is
+    {0,n}, as in the rule files' own dialect."""
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        re.compile(pattern)
+    except re.error:
+        return None
+    pattern = re.sub(r"(?<!\\)\{,(\d+)\}", r"{0,\1}", pattern)
+    pattern = re.sub(r"(?<!\\)\{(?!\d+(?:,\d*)?\})", r"\\{", pattern)
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return None
+    return pattern
+
+
 def sigma_class(patterns: DataFrame) -> Column:
     """Class of the highest level with any matching pattern; null when none.
 
-    Patterns are checked on the driver for validity: those that do not compile count as plain substrings. One
-    alternation per level keeps the row work to at most four searches per block.
+    Patterns are checked on the driver with the engine that runs them: those that do not compile there count as plain
+    substrings, and so do those that are no pattern to begin with. One alternation per level keeps the row work to at most
+    four searches per block.
     """
     text = F.concat_ws(" ", low("command_line"), low("process_name"), low("parent_image"))
     per_level: dict[str, list[Column]] = {lv: [] for lv in L.LEVEL_ORDER}
@@ -169,10 +188,9 @@ def sigma_class(patterns: DataFrame) -> Column:
         regexes: dict[str, list[str]] = {lv: [] for lv in L.LEVEL_ORDER}
         for level, pattern in block:
             p = pattern.lower()
-            try:
-                re.compile(p)
-                regexes[level].append(f"(?:{p})")
-            except re.error:
+            if (regex := _java_pattern(patterns.sparkSession, p)) is not None:
+                regexes[level].append(f"(?:{regex})")
+            else:
                 per_level[level].append(has(text, p))
         for level, ps in regexes.items():
             if ps:
@@ -290,8 +308,20 @@ def incident_type(per_incident: DataFrame) -> DataFrame:
 
 
 def incident_pattern_flags() -> list[Column]:
-    """Aggregates: does any event of the incident match the pattern. The original searches one concatenated text; a
-    match that spans two events is not kept, so that the test can be combined map-side."""
+    """Aggregates: does the incident's text, all events in order, match the pattern.
+
+    `a.*b` holds inside one event, or when the first event with a comes before the last one with b; both combine map-side.
+    """
     text = F.concat(F.lit(" "), low("command_line"), F.lit(" "), low("process_name"))
-    return [F.max(_match(text, p)).alias(f"p_{i}_{j}")
+    at = F.struct("event_ts", "event_key")
+
+    def flag(pattern: str) -> Column:
+        inside = F.max(_match(text, pattern))
+        if ".*" not in pattern:
+            return inside
+        first, last = pattern.split(".*")
+        across = F.min(F.when(has(text, first), at)) < F.max(F.when(has(text, last), at))
+        return inside | F.coalesce(across, F.lit(False))
+
+    return [flag(p).alias(f"p_{i}_{j}")
             for i, (_, _, patterns, _, _) in enumerate(A.INCIDENT_TYPES) for j, p in enumerate(patterns)]

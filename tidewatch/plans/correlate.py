@@ -34,8 +34,8 @@ def sessions_sql(src: str) -> str:
             f"<= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opened FROM {src}), sn AS (SELECT *, sum(opened) OVER (PARTITION BY "
             "hostname ORDER BY event_ts, event_key ROWS UNBOUNDED PRECEDING) AS session_no FROM sg), ss AS (SELECT *, "
             "epoch_us(min(event_ts) OVER (PARTITION BY hostname, session_no)) AS start_us FROM sn), ii AS (SELECT *, "
-            "concat('IR-', strftime(make_timestamp(start_us), '%Y%m%d'), '-', upper(substring(md5(concat(hostname, '|', "
-            "CAST(start_us AS STRING))), 1, 6))) AS incident_id FROM ss)")
+            "concat('IR-', strftime(make_timestamp(start_us), '%Y%m%d'), '-', upper(md5(concat(hostname, '|', "
+            "CAST(start_us AS STRING))))) AS incident_id FROM ss)")
 
 
 @query("session_correlation", f"WITH {se('event_key', 'event_ts', 'hostname')}, {sessions_sql('se')} SELECT event_key, "
@@ -285,8 +285,20 @@ _TYPE_ROWS = " UNION ALL ".join(
         [f"(CAST(len(list_intersect(techs, [{', '.join(lit(t) for t in techs)}])) AS DOUBLE) * CAST('0.3' AS DOUBLE)) * CAST('{w}' AS DOUBLE)"] +
         [f"CASE WHEN {pf} THEN CAST('{0.2 * w!r}' AS DOUBLE) ELSE CAST(0 AS DOUBLE) END" for pf in [f"p_{o}_{j}" for j in range(len(pats))]]) + " AS s FROM iv"
     for o, (name, techs, pats, w, _) in enumerate(A.INCIDENT_TYPES))
-_FLAGS = ", ".join(f"bool_or(regexp_matches({_ITEXT}, {lit(p)})) AS p_{o}_{j}" for o, (_, _, ps, _, _) in enumerate(
-    A.INCIDENT_TYPES) for j, p in enumerate(ps))
+_AT = "struct_pack(t := event_ts, k := event_key)"
+
+
+def _flag_sql(p: str) -> str:
+    one = f"bool_or(regexp_matches({_ITEXT}, {lit(p)}))"
+    if ".*" not in p:
+        return one
+    a, z = p.split(".*")
+    return (f"({one} OR coalesce(min(CASE WHEN contains({_ITEXT}, {lit(a)}) THEN {_AT} END) < "
+            f"max(CASE WHEN contains({_ITEXT}, {lit(z)}) THEN {_AT} END), false))")
+
+
+_FLAGS = ", ".join(f"{_flag_sql(p)} AS p_{o}_{j}" for o, (_, _, ps, _, _) in enumerate(A.INCIDENT_TYPES)
+                   for j, p in enumerate(ps))
 _SECOND = (f"{se()}, {_CLASSIFIED}, {sessions_sql('se')}, {PATTERN_HITS}, cl AS (SELECT ii.*, CASE WHEN p >= 0.5 THEN p ELSE 1 - "
            "p END AS conf, p >= 0.5 AS bad FROM ii JOIN h USING (event_key)), tlx AS (SELECT *, CASE WHEN NOT bad THEN "
            f"'informational' WHEN {_CRITCMD} OR conf >= 0.85 THEN 'critical' WHEN conf >= 0.7 THEN 'high' WHEN conf >= 0.5 THEN "

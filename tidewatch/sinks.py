@@ -18,9 +18,11 @@ def append_events(scored: DataFrame, path: str, ts: str = "event_ts") -> None:
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Field-wise update: present (non-null) new values win, absent ones keep the old; unseen keys are added.
 
-    One full join on the key; a key may occur once on each side.
+    One full join on the key. A key that occurs more than once on a side counts as one row there: per column the largest
+    non-null value of its rows, so that a repeated write neither multiplies rows nor depends on their order.
     """
     cols = list(dict.fromkeys(old.columns + new.columns))
+    old, new = (x.groupBy(key).agg(*(F.max(c).alias(c) for c in x.columns if c != key)) for x in (old, new))
     both = old.alias("o").join(new.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
 
     def pick(c: str) -> Column:
@@ -32,18 +34,20 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, base: str) -> str:
-    """Write a new version directory and point CURRENT at it; readers never see a half-written table."""
+    """Write a new version directory, then add a pointer to it. No pointer is ever changed or removed, so a reader sees the
+    old table or the new one, whole, at any moment."""
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex[:12]}"
     df.write.mode("errorifexists").parquet(f"{base}/{version}")
-    pointer = spark.createDataFrame([(version,)], "version string").coalesce(1)
-    pointer.write.mode("overwrite").json(f"{base}/_current")
+    pointer = spark.createDataFrame([(version,)], "version string").withColumn("at", F.unix_micros(F.current_timestamp()))
+    pointer.coalesce(1).write.mode("append").json(f"{base}/current")
     return f"{base}/{version}"
 
 
 def current_table(spark: SparkSession, base: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{base}/_current").first()["version"]
-    return spark.read.parquet(f"{base}/{version}")
+    """The version of the newest pointer; an append in progress is not visible before its commit."""
+    pointers = spark.read.schema("version string, at long").json(f"{base}/current")
+    return spark.read.parquet(f"{base}/{pointers.agg(F.max_by('version', F.struct('at', 'version'))).first()[0]}")
 
 
 def link_to_incident(events: DataFrame, links: DataFrame, key: str = "event_key") -> DataFrame:

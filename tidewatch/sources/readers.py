@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from urllib.parse import unquote
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,10 @@ def stream_events_json(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 
 def read_wrapped_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files holding an array, one object, lines, or {"data": …} / {"events": …} wrappers; compressed too.
+    """Files holding an array, one object (on one line or many), lines, or {"data": …} / {"events": …} wrappers around an
+    array or one object; compressed too. Adds source_file.
 
-    Every line or array element is parsed as text with both readings; bad lines fall out. Adds source_file.
+    A file whose first line is a whole object is read line by line, and bad lines fall out; any other is one document.
     """
     lines = spark.read.text(path, recursiveFileLookup=True, wholetext=True).select(
         F.col("value"), F.input_file_name().alias("source_file"))
@@ -40,18 +43,20 @@ def read_wrapped_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     array_doc = F.from_json(doc, f"array<{inner}>")
     wrapped = F.from_json(doc, f"struct<data:array<{inner}>,events:array<{inner}>>")
     is_wrapped = wrapped["data"].isNotNull() | wrapped["events"].isNotNull()
+    single = F.from_json(doc, f"struct<data:{inner},events:{inner}>")
+    one = F.coalesce(*(F.when(F.get_json_object(doc, f"$.{k}").startswith("{"), single[k]) for k in ("data", "events")))
+    whole = F.from_json(doc, inner)
+    first_line = F.element_at(F.split(doc, "\n"), 1)
+    by_line = F.json_object_keys(first_line).isNotNull() & F.contains(doc, F.lit("\n"))
     per_line = F.filter(F.transform(F.filter(F.split("value", "\n"), lambda s: F.trim(s) != ""),
-                                    lambda s: F.from_json(s, _ddl(schema), {"mode": "PERMISSIVE"})),
+                                    lambda s: F.from_json(s, schema, {"mode": "PERMISSIVE"})),
                         lambda r: F.to_json(r) != "{}")
     rows = (F.when(F.startswith(doc, F.lit("[")), array_doc)
-            .when(is_wrapped, F.coalesce(wrapped["data"], wrapped["events"])).otherwise(per_line))
+            .when(by_line, per_line).when(is_wrapped, F.coalesce(wrapped["data"], wrapped["events"]))
+            .when(one.isNotNull(), F.array(one)).when(F.json_object_keys(doc).isNotNull(), F.array(whole)).otherwise(per_line))
     return lines.select("source_file", F.explode(rows).alias("r")).select("source_file", "r.*")
 
 
-def _ddl(schema: str) -> str:
-    return schema
-
-
 def _as_struct(schema: str) -> str:
     """'a string, b int' -> 'a:string,b:int'."""
     from pyspark.sql.types import StructType
@@ -65,15 +70,29 @@ def read_log_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_parallel_labels(spark: SparkSession, events_path: str, labels_path: str, schema: str) -> DataFrame:
-    """Events and labels kept as two JSON arrays, joined by position."""
+    """Events and labels kept as two JSON arrays, joined by position inside each pair of files.
+
+    Files pair by their names' part before the last underscore (train_events.json, train_labels.json). A pair whose arrays
+    differ in length, or a file without its partner, is an error: labels of the wrong events are worse than none.
+    """
     from pyspark.sql.types import StructType
 
     inner = StructType.fromDDL(schema).simpleString()
-    load = lambda path, kind: spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.from_json("value", f"array<{kind}>")).alias("pos", "r"))
-    events = load(events_path, inner).select("pos", "r.*")
-    labels = load(labels_path, "string").select("pos", F.col("r").alias("label"))
-    return events.join(labels, "pos", "left")
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:_[^/_]*)?$", 1)
+
+    def load(path: str, kind: str, size: str) -> DataFrame:
+        files = spark.read.text(path, wholetext=True).select(stem.alias("pair"), F.from_json("value", f"array<{kind}>").alias("a"))
+        return files.select("pair", F.size("a").alias(size), "a")
+
+    events, labels = load(events_path, inner, "n_events"), load(labels_path, "string", "n_labels")
+    if events.count() == 1 == labels.count():  # two single files pair whatever their names
+        events, labels = (x.withColumn("pair", F.lit("")) for x in (events, labels))
+    pairs = events.withColumnRenamed("a", "e").join(labels.withColumnRenamed("a", "l"), "pair", "full_outer")
+    fits = F.coalesce(F.col("n_events") == F.col("n_labels"), F.lit(False))
+    said = F.concat(F.lit("events and labels differ in number: "), F.col("pair"), F.lit(" "), F.coalesce("n_events", F.lit(0)).cast("string"),
+                    F.lit(" and "), F.coalesce("n_labels", F.lit(0)).cast("string"))
+    rows = pairs.select("pair", F.when(fits, F.arrays_zip("e", "l")).otherwise(F.raise_error(said)).alias("z"))
+    return rows.select(F.posexplode("z").alias("pos", "r")).select("pos", "r.e.*", F.col("r.l").alias("label"))
 
 
 # ---------------------------------------------------------------- event XML
@@ -101,10 +120,28 @@ def read_event_xml(spark: SparkSession, path: str, label: int | None = 1) -> Dat
 
 
 # ---------------------------------------------------------------- CSV
-def read_flow_csv(spark: SparkSession, path: str, dialect: str = "a", sep: str = ",", limit: int | None = None) -> DataFrame:
-    """Flow CSV with header; the row cap is the reader's own option and off by default."""
-    raw = spark.read.option("header", True).option("sep", sep).option("recursiveFileLookup", True).csv(path)
-    out = N.flow_a(raw) if dialect == "a" else N.flow_b(raw)
+def read_flow_csv(spark: SparkSession, path: str, dialect: str = "a", sep: str | None = None, limit: int | None = None) -> DataFrame:
+    """Flow CSV files with a header each; adds source_file. The row cap is the reader's own option and off by default.
+
+    Files may differ in columns and delimiter: the first line of each tells both (the one of comma and semicolon that it has
+    more of, when `sep` is not given), and files that agree are read together.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    heads = lines.where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at")).groupBy("file").agg(
+        F.min_by("value", "at").alias("head"))
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in heads.orderBy("file").toLocalIterator():  # a row per file, as the driver's own file listing
+        head = (r.head or "").lstrip("\ufeff")
+        groups.setdefault((sep or (";" if head.count(";") >= head.count(",") and ";" in head else ","), head), []).append(r.file)
+    out = None
+    for (mark, _), files in groups.items():
+        raw = spark.read.option("header", True).option("sep", mark).csv([unquote(f) for f in files])
+        part = raw.withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        part = N.flow_a(part, ("source_file",)) if dialect == "a" else N.flow_b(part, ("source_file",))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(f"no flow files at {path}")
     return out.limit(limit) if limit else out
 
 

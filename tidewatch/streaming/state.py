@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,35 +24,39 @@ class LiveIncident(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("incident", "start_us bigint, last_us bigint, n bigint")
 
-    def _row(self, host, status: str) -> dict:
-        s, last, n = self.state.get()
-        return {"hostname": host, "start_us": s, "last_us": last, "events": n, "status": status}
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Order the batch's times over all its frames, cut them at pauses, and fold the pieces into the state: one read
+        and one write. A piece that ended more than a gap before the open incident is an incident of its own, closed."""
         host, out = key[0], []
-        for pdf in rows:
-            for us in sorted(int(v) for v in pdf["event_us"]):
-                if self.state.exists():
-                    start, last, n = self.state.get()
-                    if us - last > GAP_MS * 1000:
-                        out.append(self._row(host, "closed"))
-                        self.state.update((us, us, 1))
-                    else:
-                        self.state.update((min(start, us), max(last, us), n + 1))
-                else:
-                    self.state.update((us, us, 1))
-        if self.state.exists():
-            for t in self.handle.listTimers():
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(self.state.get()[1] // 1000 + GAP_MS + 1)
-            out.append(self._row(host, "open"))
+        times = np.sort(np.concatenate([p["event_us"].to_numpy(np.int64) for p in rows] or [np.empty(0, np.int64)]))
+        if not len(times):
+            return
+        gap = GAP_MS * 1000
+        cuts = np.flatnonzero(np.diff(times) > gap) + 1
+        now = tuple(self.state.get()) if self.state.exists() else None
+        for piece in np.split(times, cuts):
+            first, last, n = int(piece[0]), int(piece[-1]), len(piece)
+            if now is None:
+                now = first, last, n
+            elif now[0] - last > gap:
+                out.append((host, first, last, n, "closed"))
+            elif first - now[1] > gap:
+                out.append((host, *now, "closed"))
+                now = first, last, n
+            else:
+                now = min(now[0], first), max(now[1], last), now[2] + n
+        self.state.update(now)
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(now[1] // 1000 + GAP_MS + 1)
+        out.append((host, *now, "open"))
         yield pd.DataFrame(out, columns=["hostname", "start_us", "last_us", "events", "status"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
-            row = self._row(key[0], "closed")
+            row = (key[0], *self.state.get(), "closed")
             self.state.clear()
-            yield pd.DataFrame([row])
+            yield pd.DataFrame([row], columns=["hostname", "start_us", "last_us", "events", "status"])
 
     def close(self) -> None:
         pass
@@ -78,20 +82,28 @@ class DriftMonitor(StatefulProcessor):
         self.recent = handle.getListState("recent", "value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Order the batch over all its frames by time (ties by value, resets last) and run the test over the runs between
+        resets with cumulative sums."""
         n, mean, total, low, latched = self.test.get() if self.test.exists() else (0, 0.0, 0.0, float("inf"), False)
         window = [float(v[0]) for v in self.recent.get()]
-        frames = sorted((p for p in rows), key=lambda p: p["event_us"].min())
-        for pdf in frames:
-            for v in pdf.sort_values("event_us")["value"]:
-                if v is None or v != v:
-                    n, mean, total, low, latched = 0, 0.0, 0.0, float("inf"), False
-                    continue
-                n += 1
-                mean += (v - mean) / n
-                total += v - mean - DELTA
-                low = min(low, total)
-                latched = latched or total - low > LAMBDA
-                window.append(float(v))
+        frames = list(rows)
+        times = np.concatenate([p["event_us"].to_numpy(np.int64) for p in frames] or [np.empty(0, np.int64)])
+        values = np.concatenate([p["value"].to_numpy(float, na_value=np.nan) for p in frames] or [np.empty(0)])
+        values = values[np.lexsort((values, times))]  # nan, a reset, sorts behind equal times
+        resets = np.flatnonzero(np.isnan(values))
+        for k, run in enumerate(np.split(values, resets)):
+            if k:
+                n, mean, total, low, latched = 0, 0.0, 0.0, float("inf"), False
+                run = run[1:]
+            if not len(run):
+                continue
+            counts = n + np.arange(1, len(run) + 1)
+            means = (n * mean + np.cumsum(run)) / counts
+            totals = total + np.cumsum(run - means - DELTA)
+            lows = np.minimum(np.minimum.accumulate(totals), low)
+            latched = bool(latched or (totals - lows > LAMBDA).any())
+            n, mean, total, low = int(counts[-1]), float(means[-1]), float(totals[-1]), float(lows[-1])
+            window += run[-WINDOW:].tolist()
         window = window[-WINDOW:]
         self.test.update((n, float(mean), float(total), float(low), bool(latched)))
         self.recent.put([(v,) for v in window])
@@ -113,7 +125,3 @@ def drift_monitor(scores: DataFrame) -> DataFrame:
     """Needs stream, event_us and value; value null is a reset request."""
     return scores.groupBy("stream").transformWithStateInPandas(
         DriftMonitor(), outputStructType=DRIFT_SCHEMA, outputMode="Update", timeMode="None")
-
-
-def utc_micros(ts: datetime) -> int:
-    return int(ts.replace(tzinfo=timezone.utc).timestamp() * 1_000_000)
