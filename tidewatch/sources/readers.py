@@ -39,7 +39,7 @@ def read_wrapped_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     lines = spark.read.text(path, recursiveFileLookup=True, wholetext=True).select(
         F.col("value"), F.input_file_name().alias("source_file"))
     inner = f"struct<{_as_struct(schema)}>"
-    doc = F.trim("value")
+    doc = F.btrim("value", F.lit(" \t\r\n"))
     array_doc = F.from_json(doc, f"array<{inner}>")
     wrapped = F.from_json(doc, f"struct<data:array<{inner}>,events:array<{inner}>>")
     is_wrapped = wrapped["data"].isNotNull() | wrapped["events"].isNotNull()
@@ -69,16 +69,18 @@ def read_log_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
 
-def read_parallel_labels(spark: SparkSession, events_path: str, labels_path: str, schema: str) -> DataFrame:
+def read_parallel_labels(spark: SparkSession, events_path: str, labels_path: str, schema: str,
+                         pair: Column | None = None) -> DataFrame:
     """Events and labels kept as two JSON arrays, joined by position inside each pair of files.
 
-    Files pair by their names' part before the last underscore (train_events.json, train_labels.json). A pair whose arrays
+    Files pair by `pair`, an expression of the file name; by default the name's part before the last underscore
+    (train_events.json, train_labels.json). A pair whose arrays
     differ in length, or a file without its partner, is an error: labels of the wrong events are worse than none.
     """
     from pyspark.sql.types import StructType
 
     inner = StructType.fromDDL(schema).simpleString()
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:_[^/_]*)?$", 1)
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:_[^/_]*)?$", 1) if pair is None else pair
 
     def load(path: str, kind: str, size: str) -> DataFrame:
         files = spark.read.text(path, wholetext=True).select(stem.alias("pair"), F.from_json("value", f"array<{kind}>").alias("a"))
