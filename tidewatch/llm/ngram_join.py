@@ -14,8 +14,9 @@ when `den` * intersection >= `num` * union.
    where they are cheapest. The cost of a segment is bounded by the document frequency of its rarest n-gram (second rarest for
    the neighbourhood), which step 1 has counted.
 3. Verification. Sets that meet in a signature are first compared with one of them, exactly. Components of the links found
-   then tell which meetings are settled; sets that met but are still in different components are compared pair by pair. So every
-   link between different components is found, and no pair inside a settled group is ever made.
+   then tell which meetings are settled; sets that met but are still in different components are compared pair by pair, unless
+   parity sketches show a larger difference than a link allows. So every link between different components is found, and no
+   pair inside a settled group is ever made.
 
 Equal sets are one set throughout, so copies cost nothing after step 1. Null, repeated and odd input: a text without words, or
 null, is an empty set, linked with nothing; a null doc_id never is a component's name unless all its members lack one; repeated
@@ -30,7 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -274,7 +275,8 @@ def _signatures(ratio: Ratio):
             held, rows = [], 0
             for print_, n, tokens, often in zip(*(b.column(c).to_pylist() for c in ("print", "n_shingles", "tokens", "often")), strict=True):
                 key, role = set_signatures(_tokens(tokens), np.frombuffer(often, "u1"), n, bands)
-                held.append((key, np.full(len(key), print_), role))
+                lone = (n - len(tokens) // 6) * 1000 // n
+                held.append((key, np.full(len(key), lone, np.int32), np.full(len(key), print_), role))
                 rows += len(key)
                 if rows > 200_000:
                     yield _signature_batch(held)
@@ -286,17 +288,19 @@ def _signatures(ratio: Ratio):
 
 
 def _signature_batch(held: list[tuple]) -> pa.RecordBatch:
-    key, print_, role = (np.concatenate(x) for x in zip(*held, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(print_), pa.array(role.astype(np.int8))], ["sig", "print", "role"])
+    key, lone, print_, role = (np.concatenate(x) for x in zip(*held, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(lone), pa.array(print_), pa.array(role.astype(np.int8))], SIGNATURES)
 
 
+SIGNATURES = ["sig", "lone", "print", "role"]
 #: Members of one meeting that a task holds at once; the rest of a larger one follows with the same first member.
 HELD = 1_000_000
 MEETINGS = "meeting long, print long, first long, role byte"
 
 
 def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by signature and set: the members of signatures in which a probe meets an indexed set.
+    """Rows sorted by signature, share of n-grams in no other set, and set: the members of signatures in which a probe meets an
+    indexed set. The first member has the smallest such share, which makes it the likeliest to link with the others.
 
     Small meetings of the same members are told once.
     """
@@ -383,12 +387,36 @@ def _verify(ratio: Ratio):
 
 
 def verified_links(pairs: DataFrame, sets: DataFrame, ratio: Ratio) -> DataFrame:
-    """Those pairs (u, v) of sets that link. Pairs whose sizes or shared n-grams rule a link out are not compared."""
+    """Those pairs (u, v) of sets that link."""
     def side(name: str) -> DataFrame:
         return sets.select(F.col("print").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("tokens").alias(f"t{name}"))
 
-    fits = F.expr(f"{ratio.den} * least(nu, nv, length(tu) div 6, length(tv) div 6) >= {ratio.num} * greatest(nu, nv)")
-    return pairs.join(side("u"), "u").join(side("v"), "v").where(fits).mapInArrow(_verify(ratio), "u long, v long")
+    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_verify(ratio), "u long, v long")
+
+
+#: Words of the parity sketch of a set.
+SKETCH = 8
+SKETCHED = "print long, n long, s long, " + ", ".join(f"b{i} long" for i in range(SKETCH))
+
+
+def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """print, n, s and the parity, for each of 64 * SKETCH hash classes, of how many shared n-grams the set has in it."""
+    for b in batches:
+        blobs = [_tokens(t) for t in b.column("tokens").to_pylist()]
+        bits = np.zeros((len(blobs), 64 * SKETCH), np.uint8)
+        for row, t in zip(bits, blobs, strict=True):
+            row[:] = np.bincount((mix64(t) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+        words = np.packbits(bits, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("print"), b.column("n_shingles"), pa.array(np.array([len(t) for t in blobs], np.int64)),
+                                          *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH))],
+                                         [x.split()[0] for x in SKETCHED.split(", ")])
+
+
+def may_link(ratio: Ratio, a: str, b: str) -> Column:
+    """False only for sets that cannot link, because of what they are known to differ in: the n-grams that no other set has, and
+    a class of n-grams of which one set has an odd number and the other an even one."""
+    differ = " + ".join(f"bit_count({a}.b{i} ^ {b}.b{i})" for i in range(SKETCH))
+    return F.expr(f"({ratio.den + ratio.num}) * ({a}.n - {a}.s + {b}.n - {b}.s + {differ}) <= {ratio.den - ratio.num} * ({a}.n + {b}.n)")
 
 
 def document_sets(docs: DataFrame, words: int, ratio: Ratio) -> DataFrame:
@@ -403,13 +431,16 @@ def document_sets(docs: DataFrame, words: int, ratio: Ratio) -> DataFrame:
 
 def linked_sets(sets: DataFrame, ratio: Ratio) -> DataFrame:
     """Steps 2 and 3: print, root for every set that links with another one. `sets` has one row per set."""
-    signatures = sets.mapInArrow(_signatures(ratio), "sig long, print long, role byte")
-    meetings = materialise(signatures.repartition("sig").sortWithinPartitions("sig", "print").mapInArrow(_meetings, MEETINGS))
+    signatures = sets.mapInArrow(_signatures(ratio), "sig long, lone int, print long, role byte")
+    meetings = materialise(signatures.repartition("sig").sortWithinPartitions("sig", "lone", "print").mapInArrow(_meetings, MEETINGS))
+    sizes = materialise(sets.select("print", "n_shingles", "tokens").mapInArrow(_sketch, SKETCHED))
 
     def pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
         return rows.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
 
-    stars = pairs(meetings, "print", "first")
+    met = pairs(meetings, "print", "first")
+    stars = met.join(sizes.withColumnRenamed("print", "u").alias("x"), "u").join(sizes.withColumnRenamed("print", "v").alias("y"), "v").where(
+        may_link(ratio, "x", "y")).select("u", "v")
     links = materialise(verified_links(stars, sets, ratio))
     roots = materialise(connected_components(links))
     # meetings whose members are not all in one component yet: the members outside their largest part meet all others
@@ -417,12 +448,13 @@ def linked_sets(sets: DataFrame, ratio: Ratio) -> DataFrame:
     open_ = placed.groupBy("meeting", "root").agg(F.count("*").alias("n")).groupBy("meeting").agg(
         F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     still = materialise(placed.join(open_.select("meeting", F.col("most.root").alias("main")), "meeting").select(
-        "meeting", "print", "first", "role", "root", "main").distinct())
+        "meeting", "print", "role", "root", "main").distinct())
+    still = still.join(sizes, "print")
     x, y = still.where("root <> main").alias("x"), still.alias("y")
     meets = F.expr("(x.role & 20 > 0 AND y.role & 1 > 0) OR (y.role & 20 > 0 AND x.role & 1 > 0) "
                    "OR (x.role & 8 > 0 AND y.role & 2 > 0) OR (y.role & 8 > 0 AND x.role & 2 > 0)")
-    rest = x.join(y, "meeting").where(F.expr("x.root <> y.root") & meets).select(F.col("x.print").alias("a"), F.col("y.print").alias("b"))
-    more = verified_links(pairs(rest, "a", "b").join(stars, ["u", "v"], "left_anti"), sets, ratio)
+    rest = x.join(y, "meeting").where(F.expr("x.root <> y.root") & meets & may_link(ratio, "x", "y")).select(F.col("x.print").alias("a"), F.col("y.print").alias("b"))
+    more = verified_links(pairs(rest, "a", "b").join(met, ["u", "v"], "left_anti"), sets, ratio)
     return connected_components(links.unionByName(more)).withColumnRenamed("node", "print")
 
 
