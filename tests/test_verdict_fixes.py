@@ -183,3 +183,18 @@ def test_patterns_across_events(spark):
     name = next(f"p_{i}_{j}" for i, t in enumerate(matching.A.INCIDENT_TYPES) for j, p in enumerate(t[2]) if p == "readme.*decrypt")
     got = {r.incident_id: r[name] for r in df.groupBy("incident_id").agg(*matching.incident_pattern_flags()).collect()}
     assert got == {"i": True, "j": False, "k": True}
+
+
+def test_reports_hold_every_entry(spark):
+    """An incident of 1,500 events: the text report lists them all, the JSON of the second report too."""
+    n = 1500
+    rows = spark.range(n).select(
+        F.col("id").alias("event_key"), F.timestamp_seconds(F.col("id")).alias("event_ts"), F.lit("h").alias("hostname"),
+        F.timestamp_seconds(F.col("id")).cast("string").alias("timestamp"), F.lit("u").alias("user"), F.lit(0.9).alias("ml_score"), F.lit(1).alias("event_id"),
+        F.lit("a.exe").alias("process_name"), F.concat(F.lit("mimikatz 8.8."), (F.col("id") % 200).cast("string"), F.lit(".9")).alias("command_line"),
+        *[F.lit("").alias(c) for c in ("action", "query_name", "image_loaded", "message", "script_block_text", "parent_image", "service_file",
+                                       "parent_command_line", "source_ip", "destination_ip", "hashes", "original_filename", "target_object", "signed", "channel")],
+        F.lit(2).alias("logon_type"), F.lit(0).alias("destination_port"))
+    inc, tl = incidents.investigate(rows)
+    text = incidents.report_text(inc, tl).first().report
+    assert text.count("Credential dumping: ") >= n and "more events" not in text

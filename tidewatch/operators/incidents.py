@@ -276,9 +276,10 @@ def phase_events(tl: DataFrame, phase: str, limit: int = 20) -> DataFrame:
 
 
 # ---------------------------------------------------------------- reports
-def top_entries(tl: DataFrame, n: int = 20) -> DataFrame:
-    """First n timeline entries per incident as an array of structs, and the entry count."""
-    first = top_per_key(tl, ["incident_id"], [F.col("timestamp"), F.col("event_key")], n)
+def top_entries(tl: DataFrame, n: int | None = 20) -> DataFrame:
+    """First n timeline entries per incident as an array of structs; all of them without n."""
+    order = [F.col("timestamp"), F.col("event_key")]
+    first = top_per_key(tl, ["incident_id"], order, n) if n else tl.withColumn("rn", F.struct(*order))
     return first.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct(
         "rn", "timestamp", "phase", "description", "severity",
         F.transform("techniques", lambda t: t["id"]).alias("technique_ids"),
@@ -297,16 +298,16 @@ def _lines(*parts: Column) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def _with_report_inputs(incidents: DataFrame, tl: DataFrame, entries: int, iocs_per_type: int | None,
+def _with_report_inputs(incidents: DataFrame, tl: DataFrame, entries: int | None, iocs_per_type: int | None,
                         iocs_total: int | None) -> DataFrame:
     return (incidents.join(top_entries(tl, entries), "incident_id", "left")
             .join(top_iocs(incident_iocs(tl), iocs_per_type, iocs_total), "incident_id", "left"))
 
 
-def report_text(incidents: DataFrame, tl: DataFrame, entries: int = 1000) -> DataFrame:
-    """(incident_id, report): full investigation report. The timeline part holds the first `entries` rows; the
-    timeline table has them all."""
-    df = _with_report_inputs(incidents, tl, entries, 10, None)
+def report_text(incidents: DataFrame, tl: DataFrame) -> DataFrame:
+    """(incident_id, report): full investigation report with every timeline entry. A report is one row, so it has to fit in
+    a task; the timeline table has the same entries as rows."""
+    df = _with_report_inputs(incidents, tl, None, 10, None)
     rule, dash = "=" * 70, "-" * 70
     lit = F.lit
     icon = F.create_map(*[lit(x) for kv in N.SEVERITY_ICON.items() for x in kv])
@@ -332,8 +333,6 @@ def report_text(incidents: DataFrame, tl: DataFrame, entries: int = 1000) -> Dat
         field("Classification:  ", F.col("classification")), field("Created:         ", F.col("created_at").cast("string")),
         lit(""), block("CLASSIFICATION"), F.col("classification"), lit(""), block("ATTACK TIMELINE"),
         F.array_join(F.transform("entries", entry), "\n"),
-        F.when(F.col("event_count") > entries, F.concat(lit("  ... and "), (F.col("event_count") - entries).cast(
-            "string"), lit(" more events in the timeline table"))),
         F.when(F.col("n_iocs") > 0, _lines(block("INDICATORS OF COMPROMISE (IoCs)"), F.array_join(by_kind, "\n"),
                                            lit(""))),
         F.when(F.col("n_techniques") > 0, _lines(block("MITRE ATT&CK MAPPING"), F.array_join(tech, "\n"), lit(""))),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.ioc import confidence_b, context_b
@@ -70,24 +70,26 @@ def findings(df: DataFrame) -> DataFrame:
 
 
 def investigation_report(rolled: DataFrame, tl: DataFrame) -> DataFrame:
-    """(incident_id, report, report_json): 20 timeline rows, ten indicators per type, techniques by tactic order."""
+    """(incident_id, report, report_json). The text shows 20 timeline rows and ten indicators per type and says how many more
+    there are; the JSON has all of both. Techniques come in tactic order."""
     lit, c = F.lit, F.col
     iocs = incident_iocs_b(tl)
     order = [F.desc("confidence"), c("s"), c("value")]
-    shown = top_per_key(iocs, ["incident_id", "type"], order, 10)
-    rows = shown.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("type", "rn", "value", "confidence",
+    ranked = iocs.withColumn("rn", F.row_number().over(Window.partitionBy("incident_id", "type").orderBy(*order)))
+    rows = ranked.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("type", "rn", "value", "confidence",
                                                                                   "context"))).alias("ioc_rows"))
     counts = iocs.groupBy("incident_id").agg(F.count(lit(1)).alias("n_iocs"), F.count_if(F.startswith(
         "type", lit("hash_"))).alias("n_hashes"))
     firsts = lambda t, name: top_per_key(iocs.where(c("type") == t), ["incident_id"], order, 5).groupBy(
         "incident_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))),
                                        lambda s: s["value"]).alias(name))
-    top = top_per_key(tl.where("shown"), ["incident_id"], [c("event_ts"), c("event_key")], 20).groupBy(
+    numbered_rows = tl.where("shown").withColumn("rn", F.row_number().over(Window.partitionBy("incident_id").orderBy("event_ts", "event_key")))
+    top = numbered_rows.groupBy(
         "incident_id").agg(F.array_sort(F.collect_list(F.struct(
-            "rn", c("event_ts").cast("string").alias("ts"), "hostname", "severity", "process_name", "user", "confidence",
-            "label", F.transform("techniques", lambda t: t["id"]).alias("ids"),
-            F.transform("iocs", lambda i: F.concat(i["type"], lit(":"), F.substring(i["value"], 1, 30))).alias(
-                "ioc_texts")))).alias("entries"))
+            "rn", c("event_ts").cast("string").alias("timestamp"), "hostname", "severity", "process_name", "user",
+            "confidence", "label", F.transform("techniques", lambda t: F.struct(
+                t["id"].alias("id"), t["name"].alias("name"), t["tactic"].alias("tactic"))).alias("mitre_techniques"),
+            "iocs"))).alias("entries"))
     none = F.array().cast("array<string>")
     df = rolled
     for part in (rows, counts, firsts("ip", "first_ips"), firsts("domain", "first_domains"), top):
@@ -102,16 +104,20 @@ def investigation_report(rolled: DataFrame, tl: DataFrame) -> DataFrame:
         F.format_string("Security incident detected affecting %d system(s). Threat level: ", c("hosts")), c("threat_level"),
         lit(". Investigation and response required.")))
     entry = lambda e: F.concat_ws(
-        "\n", F.concat(lit("["), F.lpad(e["rn"].cast("string"), 2, "0"), lit("] "), e["ts"]),
+        "\n", F.concat(lit("["), F.lpad(e["rn"].cast("string"), 2, "0"), lit("] "), e["timestamp"]),
         F.concat(lit("     Host: "), e["hostname"]),
         F.concat(lit("     "), _map(LEVEL_MARK)[e["severity"]], lit(" Process: "), e["process_name"], lit(" | User: "),
                  e["user"], lit(" | ("), e["label"], lit(", "), percent(e["confidence"]), lit(")")),
-        F.when(F.size(e["ids"]) > 0, F.concat(lit("     MITRE: "), joined(e["ids"]))),
-        F.when(F.size(e["ioc_texts"]) > 0, F.concat(lit("     IoCs: "), joined(F.slice(e["ioc_texts"], 1, 3)))))
+        F.when(F.size(e["mitre_techniques"]) > 0, F.concat(lit("     MITRE: "), joined(F.transform(
+            e["mitre_techniques"], lambda t: t["id"])))),
+        F.when(F.size(e["iocs"]) > 0, F.concat(lit("     IoCs: "), joined(F.transform(
+            F.slice(e["iocs"], 1, 3), lambda i: F.concat(i["type"], lit(":"), F.substring(i["value"], 1, 30)))))))
     kinds = F.array_distinct(F.transform("ioc_rows", lambda x: x["type"]))
+    of_kind = lambda k: F.size(F.filter("ioc_rows", lambda x: x["type"] == k))
     ioc_text = F.array_join(F.transform(kinds, lambda k: F.concat_ws("\n", F.concat(F.upper(k), lit(":")), F.array_join(
-        F.transform(F.filter("ioc_rows", lambda x: x["type"] == k), lambda x: F.concat(
-            lit("  - "), x["value"], lit(" (confidence: "), percent(x["confidence"]), lit(")"))), "\n"))), "\n")
+        F.transform(F.filter("ioc_rows", lambda x: (x["type"] == k) & (x["rn"] <= 10)), lambda x: F.concat(
+            lit("  - "), x["value"], lit(" (confidence: "), percent(x["confidence"]), lit(")"))), "\n"), F.when(
+                of_kind(k) > 10, F.concat(lit("  ... and "), (of_kind(k) - 10).cast("string"), lit(" more"))))), "\n")
 
     def tactic_block(name):
         techs = F.filter("ranked", lambda t: t["tactic"] == name)
@@ -136,7 +142,7 @@ def investigation_report(rolled: DataFrame, tl: DataFrame) -> DataFrame:
         field("Hosts Affected:   ", c("hosts").cast("string")),
         field("Users Affected:   ", F.size("affected_users").cast("string")), lit(rule), lit("EXECUTIVE SUMMARY"),
         summary, lit("KEY FINDINGS:"), numbered("key_findings"), lit(rule), lit("ATTACK TIMELINE"),
-        F.coalesce(F.array_join(F.transform("entries", entry), "\n"), lit("No significant events in timeline.")),
+        F.coalesce(F.array_join(F.transform(F.slice("entries", 1, 20), entry), "\n"), lit("No significant events in timeline.")),
         F.when(c("rows_shown") > 20, F.concat(lit("... and "), (c("rows_shown") - 20).cast("string"), lit(" more events"))),
         lit(rule),
         lit("INDICATORS OF COMPROMISE (IoCs)"), field("Total IoCs Extracted: ", c("n_iocs").cast("string")), ioc_text,
