@@ -14,7 +14,7 @@ from tidewatch.functions.ioc import event_indicators_a
 from tidewatch.functions.text import (
     any_of, cut, filled, has, has_any, indicator_uid, joined, listed, nz, percent, pin, safe_int)
 from tidewatch.operators.matching import IOC_FIELDS, keyword_techniques, stage_texts, text_of
-from tidewatch.operators.ordered import top_per_key, with_sessions
+from tidewatch.operators.ordered import gap_sessions, session_bucket, top_per_key, with_sessions
 from tidewatch.operators.scoring import event_severity
 from tidewatch.rules import incident as N
 from tidewatch.session import materialise
@@ -84,20 +84,33 @@ def timeline(df: DataFrame, keep: tuple[str, ...] = ("incident_id", "event_key",
 
 
 # ---------------------------------------------------------------- distinct side tables
-def incident_techniques(tl: DataFrame) -> DataFrame:
+def _first_seen(long: DataFrame, sessions: DataFrame | None, what: list[str], first: Column) -> DataFrame:
+    """(incident_id, *what, f): the first sighting of each value per incident. With `sessions` (hostname, bucket,
+    incident_id) the rows have hostname and bucket, are reduced per bucket first, and only those few rows meet the sessions."""
+    if sessions is None:
+        return long.groupBy("incident_id", *what).agg(F.min(first).alias("f"))
+    few = long.groupBy("hostname", "bucket", *what).agg(F.min(first).alias("f"))
+    placed = few.join(sessions, ["hostname", "bucket"])
+    return placed.groupBy("incident_id", *what).agg(F.min("f").alias("f"))
+
+
+def _keys(sessions: DataFrame | None) -> list[str]:
+    return ["incident_id"] if sessions is None else ["hostname", "bucket"]
+
+
+def incident_techniques(tl: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """First sighting of each technique per incident: (incident_id, id, name, tactic, first_ts, first_key)."""
-    long = tl.select("incident_id", "event_ts", "event_key", F.explode("techniques").alias("t"))
-    return long.groupBy("incident_id", F.col("t.id").alias("id")).agg(F.min(F.struct(
+    long = tl.select(*_keys(sessions), "event_ts", "event_key", F.explode("techniques").alias("t")).withColumn("id", F.col("t.id"))
+    return _first_seen(long, sessions, ["id"], F.struct(
         "event_ts", "event_key", F.col("t.rule_order").alias("rule_order"), F.col("t.name").alias("name"),
-        F.col("t.tactic").alias("tactic"))).alias("f")).select("incident_id", "id", "f.*")
+        F.col("t.tactic").alias("tactic"))).select("incident_id", "id", "f.*")
 
 
-def incident_iocs(tl: DataFrame) -> DataFrame:
+def incident_iocs(tl: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """First sighting of each indicator per incident, with uid, confidence and context."""
-    long = tl.select("incident_id", "event_ts", "event_key", "event_id", "timestamp",
-                     F.posexplode("iocs").alias("pos", "i"))
-    first = long.groupBy("incident_id", F.col("i.type").alias("type"), F.col("i.value").alias("value")).agg(
-        F.min(F.struct("event_ts", "event_key", "pos", "event_id", "timestamp")).alias("f"))
+    long = tl.select(*_keys(sessions), "event_ts", "event_key", "event_id", "timestamp",
+                     F.posexplode("iocs").alias("pos", "i")).withColumns({"type": F.col("i.type"), "value": F.col("i.value")})
+    first = _first_seen(long, sessions, ["type", "value"], F.struct("event_ts", "event_key", "pos", "event_id", "timestamp"))
     tool = F.col("type") == "process"
     return first.select(
         "incident_id", "type", "value", indicator_uid(F.col("type"), F.col("value")).alias("uid"),
@@ -125,21 +138,30 @@ PHASE_FLAGS = {"p_cred": N.CREDENTIAL, "p_exec": N.EXECUTION, "p_pers": N.PERSIS
                "p_evas": N.EVASION, "p_c2": N.C2, "p_disc": N.DISCOVERY, "p_exfil": N.EXFIL, "p_init": N.INITIAL}
 
 
-def roll_up(tl: DataFrame) -> DataFrame:
-    """One row per incident with every figure and text of the rule-based investigation."""
+def roll_up(tl: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """One row per incident with every figure and text of the rule-based investigation.
+
+    `tl` has incident_id; or, with `sessions` (hostname, bucket, incident_id), it has bucket, and every figure is reduced per
+    host and half hour before it meets the sessions: no event row is joined.
+    """
     first = F.struct("event_ts", "event_key", "phase", "entry_type", "event_id", "logon_type", "process_name",
                      "description")
-    base = tl.groupBy("incident_id").agg(
+    sums, lows, highs = ["event_count", "severe_events", "ml_sum", "ml_n"], ["created_at", "host", "first"], ["updated_at", *PHASE_FLAGS]
+    part = tl.withColumn("host", F.col("hostname")).groupBy(*_keys(sessions)).agg(
         F.count(F.lit(1)).alias("event_count"), F.min("event_ts").alias("created_at"),
-        F.max("event_ts").alias("updated_at"), F.min("hostname").alias("host"), F.avg("ml_score").alias("avg_ml"),
-        F.count_if(F.col("severity").isin("critical", "high")).alias("severe_events"), F.min(first).alias("first"),
-        *[_phase_flag(p).alias(n) for n, p in PHASE_FLAGS.items()])
-    hosts = tl.where(filled("hostname")).groupBy("incident_id", "hostname").agg(
-        F.min(F.struct("event_ts", "event_key")).alias("s"))
-    users = tl.where(filled("user")).groupBy("incident_id", "user").agg(
-        F.min(F.struct("event_ts", "event_key")).alias("s"))
-    techs = incident_techniques(tl)
-    iocs = incident_iocs(tl)
+        F.max("event_ts").alias("updated_at"), F.min("host").alias("host"), F.sum("ml_score").alias("ml_sum"),
+        F.count("ml_score").alias("ml_n"), F.count_if(F.col("severity").isin("critical", "high")).alias("severe_events"),
+        F.min(first).alias("first"), *[_phase_flag(p).alias(n) for n, p in PHASE_FLAGS.items()])
+    if sessions is not None:
+        part = part.join(sessions, ["hostname", "bucket"]).groupBy("incident_id").agg(
+            *[f(c).alias(c) for f, cs in ((F.sum, sums), (F.min, lows), (F.max, highs)) for c in cs])
+    base = part.withColumn("avg_ml", F.try_divide("ml_sum", "ml_n")).drop("ml_sum", "ml_n")
+    seen = F.struct("event_ts", "event_key")
+    first_of = lambda c: _first_seen(tl.where(filled(c)).withColumn("_v", F.col(c)), sessions, ["_v"], seen).select(
+        "incident_id", F.col("_v").alias(c), F.col("f").alias("s"))
+    hosts, users = first_of("hostname"), first_of("user")
+    techs = incident_techniques(tl, sessions)
+    iocs = incident_iocs(tl, sessions)
     ioc_n = iocs.groupBy("incident_id").agg(F.count(F.lit(1)).alias("n_iocs"))
     ips = ordered_names(iocs.where(F.col("type") == "ip"), "incident_id", "value", ["first_ts", "first_key", "pos"],
                         "first_ips", limit=5)
@@ -419,9 +441,11 @@ def context_text(incidents: DataFrame, tl: DataFrame) -> DataFrame:
 def investigate(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(incidents, timeline) of scored events.
 
-    The row stage (texts, regexes, rules) is computed once and written to the checkpoint folder; correlation and the
-    roll-up branches read that table, each only its own columns.
+    The row stage (texts, regexes, rules) is computed once and written to the checkpoint folder. Each roll-up branch reads its
+    own columns of that table and reduces them per host and half hour; all rows of such a bucket share a session, so the small
+    bucket table tells the incident. The timeline joins it row by row, for whoever reads entries.
     """
-    rows = materialise(timeline(scored))
-    tl = materialise(correlate(rows))
-    return roll_up(tl), tl
+    rows = materialise(timeline(scored).withColumn("bucket", session_bucket("event_ts", N.GAP_MINUTES)))
+    sessions = materialise(gap_sessions(rows, "hostname", "event_ts", N.GAP_MINUTES).select(
+        "hostname", "bucket", incident_id(F.col("hostname"), F.col("start_us")).alias("incident_id")))
+    return roll_up(rows, sessions), rows.join(sessions, ["hostname", "bucket"]).drop("bucket")

@@ -33,11 +33,15 @@ def gap_sessions(df: DataFrame, key: str, ts: str, gap_minutes: int = 30) -> Dat
     return numbered.withColumn("start_us", F.min("first_us").over(by_session)).drop("opened")
 
 
+def session_bucket(ts: str, gap_minutes: int = 30) -> Column:
+    """The time bucket of `gap_sessions` that a row falls into."""
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (gap_minutes * 60 * 1_000_000))
+
+
 def with_sessions(df: DataFrame, key: str, ts: str, gap_minutes: int = 30) -> DataFrame:
     """Rows with session_no and start_us."""
-    width = gap_minutes * 60 * 1_000_000
     sessions = gap_sessions(df, key, ts, gap_minutes).select(key, "bucket", "session_no", "start_us")
-    rows = df.withColumn("bucket", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / width))
+    rows = df.withColumn("bucket", session_bucket(ts, gap_minutes))
     return _join_chunks(rows, sessions, [key, "bucket"]).drop("bucket")
 
 
