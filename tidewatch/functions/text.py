@@ -200,10 +200,6 @@ def is_encoded_command(c: Column | str) -> Column:
         text, r"(?:[-]enc(?:oded)?(?:command)?|[- ][Ee])[\s]+([A-Za-z0-9+/=]{20,})")
 
 
-def wildcard_to_regex(c: Column | str) -> Column:
-    return F.replace(col(c), F.lit("*"), F.lit(".*"))
-
-
 def hash_id(*cs: Column, length: int = 16) -> Column:
     """First hex digits of the md5 of key-sorted JSON."""
     return F.substring(F.md5(F.to_json(F.struct(*cs))), 1, length)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewatch import sinks
 from tidewatch.functions import ioc
-from tidewatch.operators import incidents, matching, scoring
+from tidewatch.operators import evaluate, incidents, matching, scoring
 from tidewatch.plans.correlate import _IOCS, sessions_sql
-from tidewatch.plans.detect import events, se
-from tidewatch.plans.oracle_base import ANOMALOUS, ROUTED, big
+from tidewatch.plans.detect import events, scored, se
+from tidewatch.plans.oracle_base import ANOMALOUS, ROUTED, big, r6
 from tidewatch.session import materialise, shared_dir
 from tidewatch.sources import normalize as N
 from tidewatch.sources import readers as R
@@ -154,6 +154,27 @@ def pass_through_rows(spark, sf):
     return N.pass_through(raw).groupBy("hostname", "command_line", "raw_eid").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("event_forwarding", f"WITH {ROUTED} SELECT event_key, ml_score >= 0.4 AS forwarded FROM ro")
+def event_forwarding(spark, sf):
+    """Whether an event's severity is one that is passed on."""
+    return scored(spark, sf).select("event_key", scoring.should_forward(scoring.event_severity(F.col("ml_score"))).alias("forwarded"))
+
+
+@query("score_threshold", f"WITH {se('score')} SELECT {r6('quantile_cont(score, 0.95)')} AS threshold, count(*) AS n FROM se")
+def score_threshold(spark, sf):
+    return evaluate.quantile_threshold(events(spark, sf, "score"), "score", 0.95).select(F.round("threshold", 6).alias("threshold"), "n")
+
+
+@query("indicator_feed", f"WITH {se()}, {_IOCS}, f AS (SELECT 'ip' AS type, source_ip AS value, count(*) AS sightings FROM se GROUP BY ALL) "
+       "SELECT DISTINCT ei.type, ei.value, sightings FROM ei LEFT JOIN f USING (type, value)")
+def indicator_feed(spark, sf):
+    """Distinct indicators against a feed of addresses, here the sources seen in the events."""
+    rows = events(spark, sf)
+    feed = rows.groupBy(F.lit("ip").alias("type"), F.col("source_ip").alias("value")).agg(F.count(F.lit(1)).alias("sightings"))
+    found = rows.select(F.explode(ioc.event_indicators_a(incidents.IOC_FIELDS)).alias("i")).select("i.type", "i.value")
+    return matching.intel_join(found, feed).select("type", "value", "sightings")
+
+
 # ---------------------------------------------------------------- streams
 def _source(spark, sf, *names):
     rows = events(spark, sf, *names)

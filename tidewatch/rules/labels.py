@@ -7,7 +7,6 @@ CLASSES = ["benign", "suspicious_low", "suspicious_medium", "malicious_high", "m
 LEVEL_CLASS = {"critical": "malicious_critical", "high": "malicious_high", "medium": "suspicious_medium",
                "low": "suspicious_low", "informational": "benign"}
 LEVEL_ORDER = ["critical", "high", "medium", "low"]
-COMMAND_FIELDS = ["commandline", "command_line", "originalfilename", "image"]
 
 TIERS_SHORT = {
     "malicious_critical": ["mimikatz", "sekurlsa", "lsass.*dump", "procdump.*lsass", "vssadmin.*delete.*shadow",
