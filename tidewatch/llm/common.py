@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Entries a token cache may hold before it is emptied; bounds the memory of a Python worker.
 CACHE_ENTRIES = 800_000
+WORD_ENTRIES = 250_000
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -48,7 +49,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= WORD_ENTRIES:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
