@@ -90,8 +90,8 @@ def balance_classes(df: DataFrame, key: str, label: str, factor: float = 1.0, ma
     Class sizes are one pre-aggregated row each; each original row makes its own copies, so nothing is gathered.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    target = sizes.agg(F.floor(F.max("_n") * factor).alias("_t"))
-    need = sizes.withColumn("_j", F.lit(1)).join(target.withColumn("_j", F.lit(1)), "_j").drop("_j").withColumn(
+    target = F.floor(F.max("_n").over(Window.partitionBy()) * factor)  # a window over one row per class
+    need = sizes.withColumn("_t", target).withColumn(
         "_add", F.greatest(F.least(F.floor((F.col("_t") - F.col("_n")) / 2), F.col("_n") * max_copies), F.lit(0)))
     ranked = global_rank(df.withColumn("_u", hash_unit(F.col(key), seed=7)), [label], "_u", key)
     joined = ranked.join(need.select(label, "_add"), label)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import joined, listed
-from tidewatch.operators.ordered import exact_quantiles, hash_unit
+from tidewatch.operators.ordered import exact_quantiles, hash_unit, sole_key
 
 # Thresholds of the drift monitor.
 WARNING, CRITICAL = 0.10, 0.25
@@ -33,7 +33,7 @@ def psi(baseline: DataFrame, current: DataFrame, keys: list[str], value: str, bi
                                           .alias("a"))
     one = keys or ["_one"]
     if not keys:
-        counts, edges = counts.withColumn("_one", F.lit(1)), edges.withColumn("_one", F.lit(1))
+        counts, edges = counts.withColumn("_one", sole_key("v")), F.broadcast(edges.withColumn("_one", sole_key("edges")))
     placed = counts.join(edges, one)
     at = F.size(F.filter("edges", lambda x: x <= F.col("v")))
     last = F.size("edges") - 1

@@ -75,6 +75,11 @@ def unit_chunk(column: str | Column, chunks: int = 1024) -> Column:
     return F.least(F.greatest(F.floor(c * chunks), F.lit(0)), F.lit(chunks - 1))
 
 
+def sole_key(column: str) -> Column:
+    """A key with one value that is no literal: a join on it stays an equi-join, for the one-row or few-row side to be broadcast."""
+    return F.pmod(F.xxhash64(column), F.lit(1))
+
+
 GRID = 11
 
 
@@ -108,9 +113,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     one = keys or ["_one"]
     clean = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     if not keys:
-        clean = clean.withColumn("_one", F.lit(1))
+        clean = clean.withColumn("_one", sole_key("_v"))
+    small = (lambda d: d) if keys else F.broadcast  # without keys the side has one row, or one per cell
     counts = clean.groupBy(*one, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    marked = with_cells(counts.join(split_points(counts, one, "_v"), one), "_v", "_c")
+    marked = with_cells(counts.join(small(split_points(counts, one, "_v")), one), "_v", "_c")
     sizes = marked.groupBy(*one, "_c").agg(F.sum("_n").alias("_size"))
     before = Window.partitionBy(*one).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumns({"_off": F.coalesce(F.sum("_size").over(before), F.lit(0)),
@@ -121,7 +127,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     within = lambda r, start, end: (r >= start) & (r < end)
     held = lambda start, end: F.filter(wanted, lambda w: within(lo(w), start, end) | within(hi(w), start, end))
     needed = sizes.withColumn("_w", held(F.col("_off"), F.col("_off") + F.col("_size"))).where(F.size("_w") > 0)
-    rows = _join_chunks(marked, needed.select(*one, "_c", "_off", "n"), one + ["_c"])
+    rows = _join_chunks(marked, small(needed.select(*one, "_c", "_off", "n")), one + ["_c"])
     run = Window.partitionBy(*one, "_c").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_to", F.col("_off") + F.sum("_n").over(run)).withColumn("_from", F.col("_to") - F.col("_n"))
     rows = rows.withColumn("_w", held(F.col("_from"), F.col("_to")))
