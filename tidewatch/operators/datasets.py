@@ -187,14 +187,14 @@ def scenarios(df: DataFrame, features: list[str], key: str, noise: tuple[float,
 
 def outlier_flag(df: DataFrame, features: list[str], contamination: float = 0.3) -> DataFrame:
     """Standardised squared distance at or above the (1 - contamination) quantile."""
-    from tidewatch.operators.ordered import exact_quantiles
+    from tidewatch.operators.ordered import exact_quantiles, sole_key
 
     stats = df.agg(*[a for f in features for a in (F.avg(f).alias(f"{f}__m"), F.stddev_pop(f).alias(f"{f}__s"))])
-    wide = df.withColumn("_j", F.lit(1)).join(F.broadcast(stats.withColumn("_j", F.lit(1))), "_j")
+    wide = df.withColumn("_j", sole_key(features[0])).join(F.broadcast(stats.withColumn("_j", sole_key(f"{features[0]}__m"))), "_j")
     z = lambda f: (F.col(f) - F.col(f"{f}__m")) / F.when(F.col(f"{f}__s") > 0, F.col(f"{f}__s")).otherwise(1.0)
     dist = sum((z(f) * z(f) for f in features), F.lit(0.0))
     scored = wide.withColumn("distance", F.round(dist, 9)).drop(*[f"{f}__{s}" for f in features for s in "ms"])
     cut = exact_quantiles(scored, [], "distance", [1 - contamination]).select(
-        F.lit(1).alias("_j"), F.col("q")[0].alias("_cut"))
+        sole_key("n").alias("_j"), F.col("q")[0].alias("_cut"))
     return scored.join(F.broadcast(cut), "_j").withColumn("anomaly", F.col("distance") >= F.col("_cut")).drop(
         "_j", "_cut")
