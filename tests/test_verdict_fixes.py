@@ -198,3 +198,18 @@ def test_reports_hold_every_entry(spark):
     inc, tl = incidents.investigate(rows)
     text = incidents.report_text(inc, tl).first().report
     assert text.count("Credential dumping: ") >= n and "more events" not in text
+
+
+@pytest.mark.parametrize("n", [40, 5000])
+def test_interpolation_neighbours_do_not_depend_on_blocks(spark, n):
+    """On a line, the partner of every row is one of its five nearest, whatever the blocks."""
+    from tidewatch.operators import datasets
+
+    rng = np.random.default_rng(n)
+    x = np.sort(rng.exponential(1.0, n))
+    df = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate(x)], "id long, v array<double>")
+    made = {b: {r.id: r.v[0] for r in datasets.interpolate_minority(df, "id", "v", planes=2, block=b).collect()} for b in (50, 1000)}
+    assert made[50] == pytest.approx(made[1000]) and len(made[50]) == n
+    for i, v in made[50].items():
+        near = np.sort(np.abs(x - x[i]))[min(5, n - 1)]
+        assert abs(v - x[i]) <= near + 1e-12

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import has, strip_trailing_digits
-from tidewatch.operators.ordered import global_rank, hash_unit
+from tidewatch.operators.ordered import global_rank, hash_unit, split_points, with_cells
 from tidewatch.rules import labels as L
 
 
@@ -113,33 +113,33 @@ def balance_classes(df: DataFrame, key: str, label: str, factor: float = 1.0, ma
 
 
 def interpolate_minority(df: DataFrame, key: str, vector: str, copies: int = 1, neighbours: int = 5, planes: int = 4,
-                         chunks: int = 64, seed: int = 0) -> DataFrame:
+                         block: int = 1000, seed: int = 0) -> DataFrame:
     """New minority rows between a row and one of its near neighbours: (key, copy_no, vector).
 
-    Rows are ordered along a few random directions; neighbours on those lines are the candidates and the closest
-    `neighbours` of them stay. Each row meets 2 * neighbours rows per direction, however many copies of one vector
-    exist, so there is no all-pairs bucket. Directions are approximate; the interpolation itself is exact.
+    Rows are ordered along a few random directions by exact rank; neighbours on those lines are the candidates and the closest
+    `neighbours` of them stay. A line is cut into blocks of `block` ranks, and each block also gets the `neighbours` rows before
+    and behind it, so no row loses a neighbour to a border, at any size. Each row meets 2 * neighbours rows per direction,
+    however many copies of one vector exist. Directions are approximate; the interpolation itself is exact.
     """
-    width = F.size(vector)
     direction = lambda p: F.aggregate(F.transform(F.col(vector), lambda x, i: x.cast("double") * (
         hash_unit(i, F.lit(p), seed=seed) - 0.5)), F.lit(0.0), lambda a, x: a + x)
     lined = df.select(key, vector, F.explode(F.array(*[F.struct(F.lit(p).alias("p"), direction(p).alias("at"))
                                                        for p in range(planes)])).alias("d")).select(
         key, vector, "d.p", "d.at")
-    grid = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
-    cuts = lined.groupBy("p").agg(F.array_distinct(F.percentile_approx("at", grid, F.lit(1000))).alias("_q"),
-                                  F.count(F.lit(1)).alias("_n"))
-    # few rows need few chunks: keep every k-th cut so that a chunk holds about a hundred rows at least
-    stride = F.greatest(F.ceil(F.lit(100 * chunks) / F.col("_n")), F.lit(1))
-    cuts = cuts.withColumn("_k", stride).select("p", F.filter("_q", lambda e, i: (i + 1) % F.col("_k") == 0).alias("_cuts"))
-    lined = lined.join(cuts, "p").withColumn("_c", F.size(F.filter("_cuts", lambda e: e <= F.col("at")))).drop("_cuts")
-    # a long run of one vector shares a position; chunks over a thousand rows are dealt out by key hash
-    sizes = lined.groupBy("p", "_c").agg(F.ceil(F.count(F.lit(1)) / 1000).alias("_parts"))
-    lined = lined.join(sizes, ["p", "_c"]).withColumn("_salt", F.pmod(F.xxhash64(key), F.col("_parts"))).drop("_parts")
-    w = Window.partitionBy("p", "_c", "_salt").orderBy("at", key)
+    marked = with_cells(lined.join(F.broadcast(split_points(lined, ["p"], "at")), "p"), "at", "_c")  # a row per direction
+    sizes = marked.groupBy("p", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("p").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("p", "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))  # a row per cell
+    local = F.row_number().over(Window.partitionBy("p", "_c").orderBy("at", key))
+    ranked = marked.withColumn("_local", local).join(F.broadcast(offsets), ["p", "_c"]).withColumn(
+        "_rank", F.col("_off") + F.col("_local") - 1)
+    home, place = F.floor(F.col("_rank") / block), F.col("_rank") % block
+    homes = F.array_compact(F.array(home, F.when(place < neighbours, home - 1), F.when(place >= block - neighbours, home + 1)))
+    lined = ranked.withColumns({"_home": home, "_in": F.explode(homes)})
+    w = Window.partitionBy("p", "_in").orderBy("_rank")
     near = F.array_compact(F.array(*[f(F.struct(F.col(key).alias("k"), F.col(vector).alias("v")), i).over(w)
                                      for i in range(1, neighbours + 1) for f in (F.lag, F.lead)]))
-    lined = lined.withColumn("_near", near)
+    lined = lined.withColumn("_near", near).where(F.col("_in") == F.col("_home"))
     cand = lined.select(key, F.col(vector).alias("_v"), F.explode("_near").alias("n"))
     gap = F.aggregate(F.zip_with("_v", "n.v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     cand = cand.withColumn("gap", gap).groupBy(key, F.col("n.k").alias("nk")).agg(
