@@ -26,7 +26,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     groups = materialise(ngram_join.ngram_jaccard_join(docs))
     dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    # the dropped ids grow with the corpus: a merge join at every size, never a broadcast
+    kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     if not repeated.head(1):
         return kept
