@@ -42,7 +42,7 @@ class Rule(NamedTuple):
         return f"{self.kind}@{self.version}"
 
 
-#: In the order of their kinds.
+#: In the order of their kinds, as first released.
 RULES = (
     Rule("assign", 1, r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8,
          r"""(?i)(?:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[a-z0-9+/_.=-]{8}"""),
@@ -51,6 +51,17 @@ RULES = (
     Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("signed_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, r"eyJ[A-Za-z0-9_-]{8}[A-Za-z0-9_-]*\.eyJ"),
 )
+#: Between the lines of a key: white space, also escaped, and the marks of quotes, comments and string literals.
+_BREAK = r"""(?:[\s>#*|"',;]|\\[rn])"""
+_KEY = (r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----"
+        r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----"  # no second key may begin before the END line
+        rf"|(?:{_BREAK}+(?:Proc-Type|DEK-Info|Comment|Version):[^\r\n\\]*)*"
+        rf"(?:(?:{_BREAK}+[A-Za-z0-9+/]{{16,}}={{0,2}})+"
+        rf"(?:{_BREAK}+[A-Za-z0-9+/]+={{0,2}}(?=[\x20\t]*(?:[\r\n\\\"']|\Z)))?)?)")
+#: The newest version of each rule: a private key reaches to its END line, or to the end of its base64 block where that is missing.
+CURRENT = tuple(Rule("private_key", 2, _KEY, 0, 1, r.screen) if r.kind == "private_key" else r for r in RULES)
+#: All versions that a ledger may hold.
+EVERY = RULES + tuple(r for r in CURRENT if r not in RULES)
 #: Kinds whose spans the base digest covers.
 BASE = ("assign", "access", "hex")
 LEDGER = "blob string, rules array<string>, spans array<struct<rule:string,start:int,end:int>>"
@@ -93,7 +104,7 @@ def with_blob(versions: DataFrame) -> DataFrame:
     return versions.withColumn("blob", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
 
 
-def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> None:
+def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = CURRENT) -> None:
     """Scan the blobs of `versions` (rows with a text) that some rule version has not seen, and append to the ledger.
 
     Copies of a text are reduced to one before the shuffle and after it, so a text that a third of all rows share is one row
@@ -112,7 +123,7 @@ def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     unseen.mapInArrow(_scan(rules), LEDGER).write.mode("append").parquet(ledger)
 
 
-def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = EVERY) -> DataFrame:
     """blob, spans (rule, start, end) of the blobs in which the given rule versions found something.
 
     A blob that two runs appended is one row, each span once.
@@ -123,7 +134,7 @@ def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES)
     return merged.select("blob", F.filter("spans", lambda s: s["rule"].isin(keys)).alias("spans")).where(F.size("spans") > 0)
 
 
-def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = CURRENT) -> DataFrame:
     """`versions` without its text, with blob and spans (empty when nothing was found), after bringing the ledger up to date.
 
     Columns of these two names in `versions` are replaced.
@@ -135,7 +146,7 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     return with_blob(versions).drop("text").join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
 
 
-def ordered_spans(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+def ordered_spans(spans: Column, rules: tuple[Rule, ...] = CURRENT) -> Column:
     """Spans as (start, kind's place, end, kind), sorted."""
     place = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)))
 
@@ -150,7 +161,7 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, ledger: str, mask: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, ledger: str, mask: str = "[secret]", rules: tuple[Rule, ...] = CURRENT) -> DataFrame:
     """The documents with every found span replaced by `mask`; spans that overlap are replaced as one."""
     update_ledger(docs, ledger, rules)
     found = findings(docs.sparkSession, ledger, rules)
