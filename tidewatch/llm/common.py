@@ -119,11 +119,14 @@ def chunk_encoder(path: str, drops_space: bool) -> ChunkEncoder:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterable[pa.RecordBatch]:
-    """The batches cut so that the texts of one piece hold about max_bytes at most; one longer text stays whole."""
+    """The batches cut so that the texts (or lists of numbers) of one piece hold about max_bytes at most; one longer text stays
+    whole."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        values = batch.column(column)
+        sizes = pc.binary_length(values) if not pa.types.is_list(values.type) else pc.multiply(pc.list_value_length(values), 8)
+        sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         block = np.cumsum(sizes) // max_bytes
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import chat, decontaminate, fingerprints, katz, language, ngram_join, packing, quality, secrets, sequences
+from tidewatch.llm import bpe, centroids, chat, decontaminate, fingerprints, katz, language, ngram_join, packing, quality, secrets, sequences, spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": chat.op8,
     "op9_best_fit_packing": packing.op9,
     "op10_document_fingerprints": fingerprints.op10,
+    "op11_bpe_round_trip": bpe.op11,
+    "op12_centroid_clustering": centroids.op12,
+    "op13_spelling_variants": spelling.op13,
 }
 
-ORACLES: dict[str, str] = {"op8_chat_formatting": chat.OP8_SQL}
+ORACLES: dict[str, str] = {"op8_chat_formatting": chat.OP8_SQL, "op12_centroid_clustering": centroids.op12_sql()}
