@@ -124,36 +124,86 @@ def _blocks(rules: DataFrame, columns: list[str]):
         yield block
 
 
+#: Keywords shorter than this are no evidence, so every keyword holds a run of this many characters.
+GRAM = 4
+#: Copies of a text's matches, so that events that share one text meet them in several tasks.
+TEXT_SALTS = 16
+
+
+def _grams(text: Column) -> Column:
+    """All runs of GRAM characters, each once; a look-ahead finds overlapping ones in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def keyword_index(catalogue: DataFrame) -> DataFrame:
+    """Inverted index (gram, keyword, id, name, tactic, times) of a catalogue (id, name, tactic, keywords).
+
+    A keyword stands under one gram only, the one that the fewest keywords share, so a text finds it at most once.
+    """
+    words = catalogue.select("id", "name", "tactic", F.explode("keywords").alias("keyword")).where(
+        F.length("keyword") >= GRAM).groupBy("id", "name", "tactic", "keyword").agg(F.count(F.lit(1)).alias("times"))
+    grams = words.select("keyword").distinct().select("keyword", F.explode(_grams(F.col("keyword"))).alias("gram"))
+    common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    anchor = grams.join(common, "gram").groupBy("keyword").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    return anchor.join(words, "keyword")
+
+
+def extended_text() -> Column:
+    return F.concat_ws(" ", low("command_line"), low("process_name"), low("script_block_text"))
+
+
+def text_techniques(texts: DataFrame, index: DataFrame, limit: int = 10, text: str = "_text", key: str = "_text_key") -> DataFrame:
+    """(key, extended): the techniques with at least two keyword hits in each distinct text, confidence hits/5, best first.
+
+    Grams of distinct texts meet the index in an equi-join, and only keywords whose gram occurs are searched for.
+    """
+    found = texts.select(key, text, F.explode(_grams(F.col(text))).alias("gram")).join(index, "gram").where(
+        F.contains(F.col(text), F.col("keyword")))
+    hits = found.groupBy(key, "id", "name", "tactic").agg(F.sum("times").alias("hits")).where("hits >= 2")
+    ranked = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+        (-F.least(F.col("hits") / 5.0, F.lit(1.0))).alias("minus"), "id", "name", "tactic"))).alias("all"))
+    return ranked.select(key, F.transform(F.slice("all", 1, limit), lambda t: F.struct(
+        t["id"].alias("id"), t["name"].alias("name"), t["tactic"].alias("tactic"), (-t["minus"]).alias("confidence"))).alias("extended"))
+
+
+def with_extended(events: DataFrame, catalogue: DataFrame, limit: int = 10, how: str = "left", key: str = "event_key") -> DataFrame:
+    """Events with their array `extended` (null where nothing matches). A text that many events share is matched once, and
+    its matches are copied TEXT_SALTS times before they meet the events."""
+    staged = events.withColumn("_text", pin(extended_text())).withColumn("_text_key", F.md5("_text"))
+    distinct = staged.select("_text_key", "_text").dropDuplicates(["_text_key"])
+    found = text_techniques(distinct, keyword_index(catalogue), limit)
+    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TEXT_SALTS - 1))))
+    salted = staged.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(TEXT_SALTS)).cast("int"))
+    return salted.join(copies, ["_text_key", "_salt"], how).drop("_text", "_text_key", "_salt")
+
+
 def extended_techniques(events: DataFrame, catalogue: DataFrame, key: str, limit: int = 10) -> DataFrame:
-    """(key, id, name, tactic, confidence) for events with at least two keyword hits; confidence is hits/5.
+    """(key, id, name, tactic, confidence) for events with at least two keyword hits; confidence is hits/5."""
+    texts = events.select(key, "command_line", "process_name", "script_block_text")
+    return with_extended(texts, catalogue, limit, "inner", key).select(key, F.explode("extended").alias("t")).select(key, "t.*")
+
+
+EXTENDED_EVIDENCE = "keyword match (extended MITRE)"
+
+
+def merged_techniques(matched: Column, extended: Column) -> Column:
+    """Pattern techniques and those extended ones whose id is not among them, by confidence; equals keep their order.
 
-    The catalogue (id, name, tactic, keywords) is applied block by block as an array literal, so its size never
-    multiplies the shuffled rows: only matches leave the scan stage.
+    The difference on technique id is taken inside the row: no join. Confidences that differ by rounding only are equal.
     """
-    text = F.concat_ws(" ", low("command_line"), low("process_name"), low("script_block_text"))
-    staged = events.select(key, text.alias("_text"))
-    found = None
-    for block in _blocks(catalogue, ["id", "name", "tactic", "keywords"]):
-        rules = F.from_json(F.lit(_as_json(block)), "array<struct<id:string,name:string,tactic:string,"
-                                                    "keywords:array<string>>>")
-        scored = F.transform(rules, lambda r: F.struct(
-            r["id"].alias("id"), r["name"].alias("name"), r["tactic"].alias("tactic"),
-            F.size(F.filter(r["keywords"], lambda k: F.contains(F.col("_text"), k))).alias("hits")))
-        part = (staged.select(key, F.explode(F.filter(scored, lambda r: r["hits"] >= 2)).alias("_r"))
-                .select(key, "_r.id", "_r.name", "_r.tactic",
-                        F.least(F.col("_r.hits") / 5.0, F.lit(1.0)).alias("confidence")))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return staged.select(key, *[F.lit(None).cast("string").alias(c) for c in ("id", "name", "tactic")],
-                             F.lit(0.0).alias("confidence")).limit(0)
-    return top_per_key(found, [key], [F.desc("confidence"), F.col("id")], limit).drop("rn")
-
-
-def _as_json(block: list[tuple]) -> str:
-    import json
-
-    return json.dumps([{"id": i, "name": n, "tactic": t, "keywords": [k for k in kws if k and len(k) > 3]}
-                       for i, n, t, kws in block])
+    ids = F.transform(matched, lambda t: t["id"])
+    fresh = F.filter(F.coalesce(extended, F.array().cast("array<struct<id:string,name:string,tactic:string,confidence:double>>")),
+                     lambda t: ~F.array_contains(ids, t["id"]))
+    numbered = F.concat(
+        F.transform(matched, lambda t, i: F.struct((-F.round(t["confidence"], 6)).alias("minus"), i.alias("place"), t["id"].alias("id"),
+                                                   t["name"].alias("name"), t["tactic"].alias("tactic"), t["confidence"].alias("confidence"),
+                                                   t["evidence"].alias("evidence"), F.lit(False).alias("extended"))),
+        F.transform(fresh, lambda t, i: F.struct((-F.round(t["confidence"], 6)).alias("minus"), (i + 1000).alias("place"), t["id"].alias("id"),
+                                                 t["name"].alias("name"), t["tactic"].alias("tactic"), t["confidence"].alias("confidence"),
+                                                 F.array(F.lit(EXTENDED_EVIDENCE)).alias("evidence"), F.lit(True).alias("extended"))))
+    return F.transform(F.array_sort(numbered), lambda t: F.struct(
+        t["id"].alias("id"), t["name"].alias("name"), t["tactic"].alias("tactic"), t["confidence"].alias("confidence"),
+        t["evidence"].alias("evidence"), t["extended"].alias("extended")))
 
 
 def _java_pattern(spark: SparkSession, pattern: str) -> str | None:

@@ -10,7 +10,7 @@ from tidewatch.functions.text import nz, pin
 from tidewatch.operators import features, incidents, matching, quality, scoring
 from tidewatch.operators.ordered import top_per_key
 from tidewatch.plans.detect import (
-    _CLASSIFIED, _CRITCMD, KEYWORD_HITS, PATTERN_HITS, ROUTED, any_word, b, big, events, lit, r, r6,
+    _CLASSIFIED, _CRITCMD, EXTENDED_HITS, KEYWORD_HITS, MERGED, PATTERN_HITS, ROUTED, any_word, b, big, card_catalogue, events, lit, r, r6,
     scored, se)
 from tidewatch.rules import attack as A
 from tidewatch.rules import incident as N
@@ -299,32 +299,45 @@ def _flag_sql(p: str) -> str:
 
 _FLAGS = ", ".join(f"{_flag_sql(p)} AS p_{o}_{j}" for o, (_, _, ps, _, _) in enumerate(A.INCIDENT_TYPES)
                    for j, p in enumerate(ps))
-_SECOND = (f"{se()}, {_CLASSIFIED}, {sessions_sql('se')}, {PATTERN_HITS}, cl AS (SELECT ii.*, CASE WHEN p >= 0.5 THEN p ELSE 1 - "
+_INDICATOR_FIELDS = ("command_line", "destination_ip", "source_ip", "file_path", "hashes", "url", "domain")
+_EVENT_IOCS = ("itx AS (SELECT event_key, concat_ws(' ', " + ", ".join(f"coalesce({c}, '')" for c in _INDICATOR_FIELDS) + ") AS txt FROM se), im AS ("
+               + " UNION ALL ".join(f"SELECT event_key, {lit(k)} AS type, unnest(regexp_extract_all(txt, {lit('(?i)' + p)})) AS value FROM itx"
+                                    for k, p in I.IOC_PATTERNS_B.items())
+               + "), ib AS (SELECT event_key, count(DISTINCT (type, value)) AS n_iocs FROM im WHERE NOT (type = 'ip' AND "
+               "regexp_matches(value, '^(10|127)[.]|^192[.]168[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]')) GROUP BY 1)")
+_SECOND = (f"{se()}, {_CLASSIFIED}, {sessions_sql('se')}, {PATTERN_HITS}, {EXTENDED_HITS}, {MERGED}, {_EVENT_IOCS}, cl AS (SELECT ii.*, CASE WHEN p >= 0.5 THEN p ELSE 1 - "
            "p END AS conf, p >= 0.5 AS bad FROM ii JOIN h USING (event_key)), tlx AS (SELECT *, CASE WHEN NOT bad THEN "
            f"'informational' WHEN {_CRITCMD} OR conf >= 0.85 THEN 'critical' WHEN conf >= 0.7 THEN 'high' WHEN conf >= 0.5 THEN "
            "'medium' ELSE 'low' END AS sev FROM cl WHERE NOT (NOT bad AND conf > 0.7)), "
-           "te AS (SELECT incident_id, list(DISTINCT id) AS techs FROM tlx JOIN ph USING (event_key) GROUP BY 1), "
-           f"fl AS (SELECT incident_id, {_FLAGS} FROM ii GROUP BY 1), iv AS (SELECT fl.*, coalesce(techs, []) AS techs FROM fl "
+           "t1 AS (SELECT incident_id, id, arg_min(confidence, (event_ts, event_key)) AS c FROM tlx JOIN mg USING (event_key) GROUP BY 1, 2), "
+           "te AS (SELECT incident_id, list(id) AS techs, string_agg(id, ',' ORDER BY round(c, 6) DESC, id) AS ranked FROM t1 GROUP BY 1), "
+           f"fl AS (SELECT incident_id, {_FLAGS} FROM ii GROUP BY 1), iv AS (SELECT fl.*, coalesce(techs, []) AS techs, coalesce(ranked, '') AS ranked FROM fl "
            "LEFT JOIN te USING (incident_id)), "
            f"ty AS ({_TYPE_ROWS}), tot AS (SELECT incident_id, sum(s) AS total FROM ty GROUP BY 1), best AS (SELECT ty.incident_id, "
            "kind, CASE WHEN total > 0 THEN s / total ELSE 0 END AS share FROM ty JOIN tot USING (incident_id) QUALIFY "
            "row_number() OVER (PARTITION BY ty.incident_id ORDER BY s DESC, o) = 1), "
-           "sv AS (SELECT incident_id, count(*) AS rows_, count(CASE WHEN sev IN ('high', 'critical') THEN 1 END) AS hi, "
-           "count(CASE WHEN sev = 'critical' THEN 1 END) AS cr FROM tlx GROUP BY 1)")
+           "sv AS (SELECT incident_id, count(*) AS rows_, sum(coalesce(n_iocs, 0)) AS mentions, count(CASE WHEN sev IN ('high', 'critical') THEN 1 END) AS hi, "
+           "count(CASE WHEN sev = 'critical' THEN 1 END) AS cr FROM tlx LEFT JOIN ib USING (event_key) GROUP BY 1), "
+           "sc2 AS (SELECT incident_id, CASE WHEN rows_ IS NULL THEN 0 ELSE least(least(least(hi * 5, 30) + least(cr * 10, 25) + "
+           f"least(len(techs) * 4, 20) + 5 * len(list_intersect(techs, [{', '.join(lit(t) for t in A.HIGH_IMPACT_TECHNIQUES)}])), 90) + "
+           "least(mentions * 2, 10), 100) END AS threat_score FROM iv LEFT JOIN sv USING (incident_id))")
 
 
 def second_timeline(spark, sf):
     """Classified rows with incident, techniques, indicators and severity, computed once."""
     f = features.v1_18(events(spark, sf))
     p, label, conf, _ = scoring.heuristic18({n: F.col(n) for n in features.V1_NAMES})
-    ioc_text = F.concat_ws(" ", *[nz(c) for c in ("command_line", "destination_ip", "source_ip", "hashes")])
+    ioc_text = F.concat_ws(" ", *[nz(c) for c in _INDICATOR_FIELDS])
     f = matching.stage_texts(f, "cmd", "proc", "parent").withColumn("_ioc_text", pin(ioc_text))
-    rows = f.withColumns({"label": label, "confidence": conf, "techniques": pin(matching.pattern_techniques(True)),
+    rows = f.withColumns({"label": label, "confidence": conf, "matched": pin(matching.pattern_techniques(True)),
                           "iocs": pin(ioc.text_indicators_b(F.col("_ioc_text")))})
     rows = rows.withColumn("severity", scoring.classified_severity(F.col("label"), F.col("confidence"), nz("command_line")))
-    return materialise(incidents.correlate(materialise(rows.select(
-        "event_key", "event_ts", "hostname", "user", "command_line", "process_name", "label", "confidence", "severity",
-        "techniques", "iocs", scoring.on_timeline(F.col("label"), F.col("confidence")).alias("shown")))))
+    staged = materialise(rows.select(
+        "event_key", "event_ts", "hostname", "user", "command_line", "process_name", "script_block_text", "label", "confidence", "severity",
+        "matched", "iocs", scoring.on_timeline(F.col("label"), F.col("confidence")).alias("shown")))
+    merged = matching.merged_techniques(F.col("matched"), F.col("extended"))
+    both = matching.with_extended(staged, card_catalogue(spark)).withColumn("techniques", merged)
+    return materialise(incidents.correlate(both.drop("matched", "extended", "script_block_text")))
 
 
 def second_rollup(tl):
@@ -334,7 +347,7 @@ def second_rollup(tl):
         "incident_id", F.col("t.id").alias("id")).agg(F.min(F.struct("event_ts", "event_key", "t.name", "t.tactic",
                                                                      "t.confidence")).alias("f"))
     tsets = techs.groupBy("incident_id").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("f.confidence")).alias("c"), "id", F.col("f.name").alias("name"),
+        F.sort_array(F.collect_list(F.struct((-F.round("f.confidence", 6)).alias("c"), "id", F.col("f.name").alias("name"),
                                              F.col("f.tactic").alias("tactic")))).alias("ranked"))
     flags = tl.groupBy("incident_id").agg(
         *matching.incident_pattern_flags(), F.count_distinct(F.lower("hostname")).alias("hosts"),
@@ -361,14 +374,21 @@ def second_rollup(tl):
         F.col("threat_score") >= 20, "low").otherwise("informational"))
 
 
+_LEVEL = ("CASE WHEN threat_score >= 80 THEN 'critical' WHEN threat_score >= 60 THEN 'high' WHEN threat_score >= 40 THEN 'medium' WHEN "
+          "threat_score >= 20 THEN 'low' ELSE 'informational' END")
+
+
 @query("ml_investigation", f"WITH {_SECOND} SELECT incident_id, CASE WHEN share < 0.2 THEN 'unknown' ELSE kind END AS incident_type, "
-       f"{r6('share')} AS type_confidence, {big('len(techs)')} AS n_techniques, {big('coalesce(hi, 0)')} AS high_events, "
-       f"{big('coalesce(cr, 0)')} AS critical_events FROM best JOIN iv USING (incident_id) LEFT JOIN sv USING (incident_id)")
+       f"{r6('share')} AS type_confidence, {big('len(techs)')} AS n_techniques, ranked AS techniques, {big('coalesce(hi, 0)')} AS high_events, "
+       f"{big('coalesce(cr, 0)')} AS critical_events, {big('coalesce(mentions, 0)')} AS ioc_mentions, {big('threat_score')} AS threat_score, "
+       f"{_LEVEL} AS threat_level FROM best JOIN iv USING (incident_id) JOIN sc2 USING (incident_id) LEFT JOIN sv USING (incident_id)")
 def ml_investigation(spark, sf):
+    """Per incident: type, merged techniques in order of confidence, severities, indicators, threat score and level."""
     out = second_rollup(second_timeline(spark, sf))
     n = lambda c: b(F.coalesce(F.col(c), F.lit(0)))
     return out.select("incident_id", "incident_type", r("type_confidence").alias("type_confidence"), b(F.size(
-        "technique_ids")).alias("n_techniques"), n("hi").alias("high_events"), n("cr").alias("critical_events"))
+        "technique_ids")).alias("n_techniques"), F.array_join("technique_ids", ",").alias("techniques"), n("hi").alias("high_events"),
+        n("cr").alias("critical_events"), n("ioc_mentions").alias("ioc_mentions"), n("threat_score").alias("threat_score"), "threat_level")
 
 
 @query("ml_report")

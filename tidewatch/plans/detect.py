@@ -15,6 +15,7 @@ from tidewatch.rules import detection as D
 from tidewatch.rules import incident as N
 from tidewatch.rules import labels as L
 from tidewatch.schema import security_events
+from tidewatch.session import materialise
 
 QUERIES, ORACLES = {}, {}
 
@@ -319,16 +320,33 @@ def card_catalogue(spark):
                                  "id string, name string, tactic string, keywords array<string>")
 
 
-@query("extended_techniques", f"WITH {se()}, xt AS (SELECT event_key, lower(concat_ws(' ', command_line, process_name, "
-       f"script_block_text)) AS txt FROM se), cat(id, name, tactic, kw) AS (VALUES {_XVALUES}), hit AS (SELECT event_key, "
-       "id, name, tactic, least(count(*) / 5.0, 1.0) AS confidence FROM xt JOIN cat ON contains(txt, kw) GROUP BY ALL "
-       f"HAVING count(*) >= 2) SELECT event_key, id, name, tactic, {r6('confidence')} AS confidence FROM hit QUALIFY "
-       "row_number() OVER (PARTITION BY event_key ORDER BY confidence DESC, id) <= 10")
+EXTENDED_HITS = ("xt AS (SELECT event_key, lower(concat_ws(' ', command_line, process_name, script_block_text)) AS txt FROM se), "
+                 f"cat(id, name, tactic, kw) AS (VALUES {_XVALUES}), xh AS (SELECT event_key, id, name, tactic, least(count(*) / 5.0, 1.0) AS "
+                 "confidence FROM xt JOIN cat ON contains(txt, kw) GROUP BY ALL HAVING count(*) >= 2), xk AS (SELECT * FROM xh QUALIFY "
+                 "row_number() OVER (PARTITION BY event_key ORDER BY confidence DESC, id) <= 10)")
+MERGED = ("mo(id, o) AS (VALUES " + ", ".join(f"({lit(t['id'])}, {k})" for k, t in enumerate(A.PATTERN_TECHNIQUES)) + "), mg AS (SELECT event_key, id, "
+          "confidence, false AS ext, o FROM ph JOIN mo USING (id) UNION ALL SELECT xk.event_key, xk.id, CAST(xk.confidence AS DOUBLE), true, 0 FROM xk "
+          "ANTI JOIN ph USING (event_key, id))")
+
+
+@query("extended_techniques", f"WITH {se()}, {EXTENDED_HITS} SELECT event_key, id, name, tactic, {r6('confidence')} AS confidence FROM xk")
 def extended_techniques(spark, sf):
     return matching.extended_techniques(events(spark, sf), card_catalogue(spark), "event_key").select(
         "event_key", "id", "name", "tactic", r("confidence").alias("confidence"))
 
 
+@query("merged_techniques", f"WITH {se()}, {PATTERN_HITS}, {EXTENDED_HITS}, {MERGED} SELECT event_key, id, {r6('confidence')} AS confidence, ext AS "
+       "extended, row_number() OVER (PARTITION BY event_key ORDER BY round(confidence, 6) DESC, ext, o, id) AS place FROM mg")
+def merged_techniques(spark, sf):
+    """Pattern techniques and the extended ones that are not among them, in order of confidence."""
+    rows = materialise(matching.stage_texts(events(spark, sf), "cmd", "proc", "parent").select(
+        "event_key", "command_line", "process_name", "script_block_text", matching.pattern_techniques(True).alias("matched")))
+    both = matching.with_extended(rows, card_catalogue(spark))
+    merged = matching.merged_techniques(F.col("matched"), F.col("extended"))
+    return both.select("event_key", F.posexplode(merged).alias("pos", "t")).select(
+        "event_key", "t.id", r("t.confidence").alias("confidence"), "t.extended", b(F.col("pos") + 1).alias("place"))
+
+
 @query("technique_lookup", "WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT c.id, "
        "c.name, n.event_type, n.n FROM n, (VALUES ('T1048', 'Exfiltration Over Alternative Protocol'), ('T1071', "
        "'Application Layer Protocol')) AS c(id, name)")

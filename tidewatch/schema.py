@@ -44,6 +44,7 @@ DETECTION_ALIASES = {
     "hashes": ["hashes", "Hashes"], "signed": ["signed", "Signed"], "target_object": ["target_object", "TargetObject"],
     "source_ip": ["source_ip", "SourceIp"], "destination_ip": ["destination_ip", "DestinationIp"],
     "destination_port": ["destination_port", "DestinationPort"], "logon_type": ["logon_type", "LogonType"],
+    "file_path": ["file_path", "TargetFilename"], "url": ["url"], "domain": ["domain"],
 }
 DETECTION_INTS = ("event_id", "destination_port", "logon_type")
 
@@ -122,6 +123,9 @@ EVENT_VIEW = {
     "destination_port": "CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 4444 WHEN 1 THEN 443 WHEN 2 THEN 445 WHEN 3 THEN "
                         "53 ELSE 8080 END",
     "logon_type": "CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 10 WHEN 3 THEN 9 ELSE 5 END",
+    "file_path": f"CASE WHEN event_id % 13 = 0 THEN concat_ws({_BS}, 'C:', 'Users', 'Public', 'stage.dll') ELSE '' END",
+    "url": "CASE WHEN event_id % 18 = 0 THEN concat('http://cdn.badhost.net/p/', CAST(event_id % 50 AS STRING)) ELSE '' END",
+    "domain": "CASE WHEN event_id % 16 = 0 THEN 'relay.badhost.net' ELSE '' END",
     "value": "value",
     "score": "CASE WHEN value / 300.0 > 1.0 THEN CAST(1.0 AS DOUBLE) ELSE value / 300.0 END",
     "label": "CASE WHEN event_id % 12 IN (0, 1, 3, 6) THEN 1 ELSE 0 END",
