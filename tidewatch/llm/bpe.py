@@ -28,7 +28,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import CACHE_ENTRIES, documents, slices
+from tidewatch.llm.common import documents, slices
+
+#: Chunks and words whose ids a task keeps; each table is emptied when it is full, which bounds the memory of a worker.
+CACHED_CHUNKS, CACHED_WORDS = 500_000, 250_000
 
 NEVER = np.int64(1) << 40
 FAR = 1 << 62
@@ -212,10 +215,8 @@ class SpeculativeEncoder:
         self.control = {t["content"]: t["id"] for t in spec["added_tokens"]} if control_tokens else {}
         self.control_split = re.compile("(" + "|".join(
             map(re.escape, sorted(self.control, key=len, reverse=True))) + ")") if self.control else None
-        names = {i: t for t, i in model["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
-        self.chunks: dict[str, np.ndarray] = {}
-        self.words: dict[str, list[int]] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _parts(self, chunk: str) -> list[str | int]:
         """Words of a chunk in the alphabet of the vocabulary, and the ids of control strings."""
@@ -238,13 +239,14 @@ class SpeculativeEncoder:
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks that are not cached, all their unknown words in one go."""
         parts = [self._parts(c) for c in chunks]
-        new = list({p for ps in parts for p in ps if isinstance(p, str)}.difference(self.words))
-        if len(self.words) + len(new) > CACHE_ENTRIES:
+        all_words = {p for ps in parts for p in ps if isinstance(p, str)}
+        new = list(all_words.difference(self.words))
+        if len(self.words) + len(new) > CACHED_WORDS:
             self.words.clear()
-            new = list({p for ps in parts for p in ps if isinstance(p, str)})
-        self.words.update(zip(new, self.table.encode_words(new), strict=True))
+            new = list(all_words)
+        self.words.update((w, np.array(ids, np.int32).tobytes()) for w, ids in zip(new, self.table.encode_words(new), strict=True))
         for c, ps in zip(chunks, parts, strict=True):
-            self.chunks[c] = np.array([i for p in ps for i in ([p] if isinstance(p, int) else self.words[p])], np.int32)
+            self.chunks[c] = b"".join([p.to_bytes(4, "little") if isinstance(p, int) else self.words[p] for p in ps])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin (one more than texts), and all ids. Texts are cut at ASCII white space, which no token
@@ -253,13 +255,13 @@ class SpeculativeEncoder:
         coded = cut.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
         if new := [c for c in chunks if c not in self.chunks]:
-            if len(self.chunks) + len(new) > CACHE_ENTRIES:
+            if len(self.chunks) + len(new) > CACHED_CHUNKS:
                 self.chunks.clear()
                 new = chunks
             self._learn(new)
         found = [self.chunks[c] for c in chunks]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found) if found else np.empty(0, np.int32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<i4")
         codes = coded.indices.to_numpy()
         taken = sizes[codes]
         ends = np.cumsum(taken)
@@ -268,6 +270,16 @@ class SpeculativeEncoder:
         offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         return np.concatenate([[0], ends])[offsets], ids
 
+
+class TokenNames:
+    """The text of every token, for decoding."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
+
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Token texts joined by one space, as the library does where the file names no decoder; unknown ids are skipped."""
         flat = ids.flatten()
@@ -287,36 +299,54 @@ def encoder(path: str, control_tokens: bool = True) -> SpeculativeEncoder:
     return SpeculativeEncoder(path, control_tokens)
 
 
+@lru_cache(4)
+def token_names(path: str) -> TokenNames:
+    return TokenNames(path)
+
+
+def _encoded(batches: Iterable[pa.RecordBatch], tokenizer: str, control_tokens: bool) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    coder = encoder(tokenizer, control_tokens)
+    for b in slices(batches, "text"):
+        begins, ids = coder.encode(b.column("text"))
+        yield b.column("doc_id"), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, tokenizer: str, control_tokens: bool = True) -> DataFrame:
     """doc_id and ids (array of int) of every text."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer, control_tokens)
-        for b in slices(batches, "text"):
-            begins, ids = coder.encode(b.column("text"))
-            lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "ids"])
+        for doc, ids in _encoded(batches, tokenizer, control_tokens):
+            yield pa.RecordBatch.from_arrays([doc, ids], ["doc_id", "ids"])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, ids array<int>")
+    return _plain(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """The rows of `encode` with their decoded text; special tokens stay in it."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
-        for b in batches:
-            for part in slices([b], "ids"):
-                text = coder.decode(part.column("ids"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), text], ["doc_id", "ids", "decoded"])
+        for part in slices(batches, "ids"):
+            text = token_names(tokenizer).decode(part.column("ids"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), text], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, tokenizer: str, control_tokens: bool = True) -> DataFrame:
+    """`decode(encode(docs))` in one pass over the rows."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, ids in _encoded(batches, tokenizer, control_tokens):
+            yield pa.RecordBatch.from_arrays([doc, ids, token_names(tokenizer).decode(ids)], ["doc_id", "ids", "decoded"])
+
+    return _plain(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    back = decode(encode(documents(spark, sf_dir), path), path)
+    back = round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import ensure_checkpoint_dir, materialise, shared_dir
@@ -200,8 +200,7 @@ def clustered(vectors: DataFrame, **options) -> DataFrame:
     digests = spark.createDataFrame([(j, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for j, c in enumerate(centroids.tolist())],
                                     "cluster int, centroid_sha256 string")
     per = per.join(F.broadcast(digests), "cluster")
-    whole = per.agg(F.sum("cluster_inertia").alias("inertia")).withColumn("one", F.lit(1))
-    per = per.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one").drop("one")  # both: at most one row per centroid
+    per = per.withColumn("inertia", F.sum("cluster_inertia").over(Window.partitionBy()))  # at most one row per centroid
     return found.join(F.broadcast(per), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
