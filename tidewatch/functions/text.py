@@ -100,7 +100,7 @@ def joined(arr: Column, sep: str = ", ") -> Column:
 
 def percent(c: Column, digits: int = 0) -> Column:
     """0.873 -> '87%'."""
-    return F.format_string(f"%.{digits}f%%", c * 100)
+    return F.format_string(f"%.{digits}f%%", F.round(c * 100, 9))  # a half is a half, however the sum before it rounded
 
 
 def basename(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import joined, listed
-from tidewatch.operators.ordered import exact_quantiles, hash_unit, sole_key
+from tidewatch.operators.ordered import exact_quantiles, sole_key
 
 # Thresholds of the drift monitor.
 WARNING, CRITICAL = 0.10, 0.25
@@ -64,8 +64,8 @@ def baseline_profile(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def baseline_samples(df: DataFrame, key: str, n: int = SAMPLES, seed: int = 0) -> DataFrame:
-    """At most n rows, picked by key hash: repeatable, and each task keeps n rows at most."""
-    return df.orderBy(hash_unit(F.col(key), seed=seed), key).limit(n)
+    """At most n rows, picked by a digest of the key: repeatable in any engine, and each task keeps n rows at most."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
 
 
 def check(baseline: DataFrame, current: DataFrame, features: list[str], score: str, ph_drift: bool = False) -> DataFrame:

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier)
@@ -12,14 +20,17 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.datasets import permuted_column
 from tidewatch.operators.evaluate import confusion, roc_auc
+from tidewatch.operators.ordered import global_rank, hash_unit
+from tidewatch.session import materialise
 
+# Sizes of the trained ensembles. Where a validation column is given, training stops when it no longer improves.
 CONFIGS = {
-    "enterprise": dict(maxIter=60, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=20),
-    "source_split": dict(maxIter=50, maxDepth=4, stepSize=0.05, subsamplingRate=0.7, minInstancesPerNode=20),
-    "classic": dict(maxIter=40, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=5),
-    "histogram": dict(maxIter=60, maxDepth=6, stepSize=0.1, maxBins=64),
+    "enterprise": dict(maxIter=300, maxDepth=6, stepSize=0.07, maxBins=255, minInstancesPerNode=20),
+    "source_split": dict(maxIter=300, maxDepth=4, stepSize=0.05, subsamplingRate=0.7, minInstancesPerNode=20),
+    "classic": dict(maxIter=200, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=5),
+    "histogram": dict(maxIter=300, maxDepth=6, stepSize=0.1, maxBins=64),
+    "audit": dict(maxIter=100, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=20),
 }
 
 
@@ -95,30 +106,46 @@ def cross_validate(pipeline: Pipeline, df: DataFrame, folds: int = 5, fold: str
     return fitted.avgMetrics[0], fitted.stdMetrics[0]
 
 
-def fold_metrics(pipeline: Pipeline, df: DataFrame, fold: str, values: list, label: str = "label") -> DataFrame:
-    """Leave one value of `fold` out at a time (folds, groups or sources): one metrics row each."""
-    out = None
-    for v in values:
-        model = pipeline.fit(df.where(F.col(fold) != v))
-        held = score(model, df.where(F.col(fold) == v))
-        row = confusion(held, label, "pred").withColumn("held_out", F.lit(str(v)))
-        out = row if out is None else out.unionByName(row)
-    return out
+def fold_metrics(pipeline: Pipeline, df: DataFrame, fold: str, values: list, label: str = "label", parallelism: int = 4) -> DataFrame:
+    """Leave one value of `fold` out at a time (folds, groups or sources): one metrics row each. The fits of all values are one job
+    list, so a cluster works on several at a time; `values` are the few names of folds, groups or sources."""
+    def one(v) -> DataFrame:
+        held = score(pipeline.fit(df.where(F.col(fold) != v)), df.where(F.col(fold) == v))
+        return confusion(held, label, "pred").withColumn("held_out", F.lit(str(v)))
 
+    with ThreadPool(min(parallelism, max(1, len(values)))) as pool:
+        rows = pool.map(inheritable_thread_target(df.sparkSession)(one), values)
+    return reduce(DataFrame.unionByName, rows)
 
-def importance(model: PipelineModel, df: DataFrame, features: list[str], key: str, repeats: int = 3,
+
+#: Steps of the permutations; the first that shares no factor with the number of rows is used.
+STEPS = (1_000_003, 1_000_033, 1_000_037, 1_000_039)
+
+
+def importance(model: PipelineModel | Callable[[DataFrame], DataFrame], df: DataFrame, features: list[str], key: str, repeats: int = 3,
                label: str = "label") -> DataFrame:
-    """Accuracy lost when one feature is shuffled: (feature, mean_drop, std_drop)."""
-    base = confusion(score(model, df), label, "pred").select(F.lit(1).alias("_j"), F.col("accuracy").alias("_b"))
-    out = None
-    for f in features:
-        for r in range(repeats):
-            row = confusion(score(model, permuted_column(df, key, f, seed=1000 * r)), label, "pred").select(
-                F.lit(1).alias("_j"), F.lit(f).alias("feature"), "accuracy")
-            out = row if out is None else out.unionByName(row)
-    return (out.join(F.broadcast(base), "_j").groupBy("feature")
-            .agg(F.avg(F.col("_b") - F.col("accuracy")).alias("mean_drop"),
-                 F.stddev_pop(F.col("_b") - F.col("accuracy")).alias("std_drop")))
+    """Accuracy lost when one feature is shuffled: (feature, mean_drop, std_drop). `model` may be a function that adds `pred`.
+
+    All features and repeats come from one rank table. Rows are ranked once by a digest of their key; in a repeat, row i meets the
+    donor with rank (step * i + shift) mod n, a permutation. One join brings each row its donors' features; a copy per feature then
+    takes that one value from the donor, and all copies are scored in one pass without another shuffle.
+    """
+    scorer = model if callable(model) else lambda rows: score(model, rows)
+    digest = F.md5(F.col(key).cast("string"))
+    unit = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+    ranked = materialise(global_rank(df.select(key, label, *features).withColumn("_u", unit), [], "_u", key, total="_n").drop("_u"))
+    i, n, own = F.col("rank") - 1, F.col("_n"), F.struct(*features)
+    step = F.coalesce(*[F.when(n % s != 0, F.lit(s)) for s in STEPS])
+    takers = ranked.select(label, own.alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r"), "rank", "_n")
+    takers = takers.withColumn("_donor", F.pmod(i * step + F.col("_r") * 7919 + 1, n))
+    both = takers.drop("rank").join(ranked.select((F.col("rank") - 1).alias("_donor"), own.alias("_new")), "_donor")
+    names = F.array(F.lit(""), *[F.lit(f) for f in features])
+    copies = both.select(label, "_r", "_own", "_new", F.explode(names).alias("_shuffled")).select(
+        label, "_r", "_shuffled", *[F.when(F.col("_shuffled") == f, F.col(f"_new.{f}")).otherwise(F.col(f"_own.{f}")).alias(f) for f in features])
+    right = scorer(copies).groupBy("_shuffled", "_r").agg(F.avg((F.col("pred") == F.col(label)).cast("double")).alias("accuracy"))
+    base = right.where("_shuffled = '' AND _r = 0").select(F.lit(1).alias("_j"), F.col("accuracy").alias("_b"))
+    return (right.where("_shuffled <> ''").withColumn("_j", F.lit(1)).join(F.broadcast(base), "_j").groupBy(F.col("_shuffled").alias("feature"))
+            .agg(F.avg(F.col("_b") - F.col("accuracy")).alias("mean_drop"), F.stddev_pop(F.col("_b") - F.col("accuracy")).alias("std_drop")))
 
 
 def top_features(importances: DataFrame, n: int = 15) -> DataFrame:
@@ -138,39 +165,57 @@ def promote(candidate: PipelineModel, val: DataFrame, path: str, current_auc: fl
 
 
 def embedding_classifier(df: DataFrame, vector: str = "embedding", label: str = "label", hidden: tuple[int, ...] = (
-        512, 256, 128), iterations: int = 50, seed: int = 42):
-    """Feed-forward classifier over an embedding column; returns (model, scored table)."""
-    ready = df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+        512, 256, 128), iterations: int = 50, seed: int = 42, held_out: DataFrame | None = None):
+    """Feed-forward classifier over an embedding column; returns (model, scored table): the held-out rows where they are given."""
+    features = lambda rows: rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+    ready = features(df)
     shape = ready.agg(F.max(F.size(vector)).alias("w"), (F.max(label) + 1).alias("k")).first()
     net = MultilayerPerceptronClassifier(layers=[shape["w"], *hidden, int(shape["k"])], labelCol=label,
                                          featuresCol="features", maxIter=iterations, seed=seed)
     model = net.fit(ready)
-    return model, model.transform(ready).drop("features", "rawPrediction")
-
+    return model, model.transform(ready if held_out is None else features(held_out)).drop("features", "rawPrediction")
 
-def local_explanation(model: PipelineModel, events: DataFrame, features: list[str], key: str, samples: int = 200,
-                      top: int = 10, seed: int = 3) -> DataFrame:
-    """Per event: jittered copies, model scores, distance weights, weighted least squares; the largest coefficients."""
-    import numpy as np
-    import pandas as pd
 
-    from tidewatch.operators.ordered import hash_unit
+def local_explanation(model: PipelineModel | Callable[[DataFrame], DataFrame], events: DataFrame, features: list[str], key: str,
+                      samples: int = 200, top: int = 10, seed: int = 3) -> DataFrame:
+    """Per event: jittered copies, model scores, distance weights, weighted least squares; the largest coefficients.
 
+    A row's copies follow each other in its task, from their explode through the model to the sums, so no event is shuffled or
+    gathered: a batch adds its part of the weighted Gram matrix and right-hand side, and an event is solved when its last copy has
+    passed. `model` may be a function that adds `p`.
+    """
+    scorer = model if callable(model) else lambda rows: score(model, rows)
     copies = events.select(key, *features).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    origin = copies.withColumn("_o", F.array(*[F.col(f).cast("double") for f in features]))
     jitter = {f: F.when(F.col("_s") == 0, F.col(f)).otherwise(
         F.col(f) + (hash_unit(F.col(key), F.col("_s"), F.lit(f), seed=seed) - 0.5)) for f in features}
-    scored = score(model, copies.withColumns(jitter)).select(key, "_s", "p", *features)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[features].to_numpy(float)
-        origin = pdf.loc[pdf["_s"] == 0, features].to_numpy(float)[0]
-        d = ((x - origin) ** 2).sum(axis=1)
-        w = np.exp(-d / (0.75 * np.sqrt(len(features))) ** 2)
-        a = np.hstack([x - origin, np.ones((len(x), 1))])
-        gram = a.T @ (a * w[:, None]) + np.eye(a.shape[1]) * 1e-3
-        coef = np.linalg.solve(gram, a.T @ (w * pdf["p"].to_numpy(float)))[:-1]
-        order = np.argsort(-np.abs(coef))[:top]
-        return pd.DataFrame({key: pdf[key].iloc[0], "feature": [features[i] for i in order], "weight": coef[order]})
+    scored = scorer(origin.withColumns(jitter)).select(
+        F.col(key).alias("_key"), "_s", F.col("p").cast("double").alias("p"), "_o", F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+    width, spread = len(features), 0.75 * math.sqrt(len(features))
+
+    def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, right, seen = np.zeros((width + 1, width + 1)), np.zeros(width + 1), 0
+        for b in batches:
+            x = b.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, width)
+            away = x - b.column("_o").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, width)
+            w = np.exp(-(away ** 2).sum(1) / spread ** 2)
+            a, p = np.hstack([away, np.ones((b.num_rows, 1))]), b.column("p").to_numpy(zero_copy_only=False)
+            keys, names, weights = [], [], []
+            at = 0
+            while at < b.num_rows:
+                to = min(b.num_rows, at + samples - seen)
+                part = a[at:to] * w[at:to, None]
+                gram, right, seen, at = gram + part.T @ a[at:to], right + part.T @ p[at:to], seen + to - at, to
+                if seen == samples:
+                    coef = np.linalg.solve(gram + np.eye(width + 1) * 1e-3, right)[:-1]
+                    order = np.argsort(-np.abs(coef), kind="stable")[:top]
+                    keys += [at - 1] * len(order)
+                    names += [features[k] for k in order]
+                    weights += coef[order].tolist()
+                    gram, right, seen = np.zeros_like(gram), np.zeros_like(right), 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(keys)), pa.array(names), pa.array(weights)],
+                                                 [key, "feature", "weight"])
 
     key_type = events.schema[key].dataType.simpleString()
-    return scored.groupBy(key).applyInPandas(fit, f"{key} {key_type}, feature string, weight double")
+    return scored.mapInArrow(solve, f"{key} {key_type}, feature string, weight double")

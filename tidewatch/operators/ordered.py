@@ -168,3 +168,15 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, nam
     """First n rows per key; the planner cuts each input task to n rows per key before it shuffles."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[str], weight: str, name: str, bucket: str = "minute") -> DataFrame:
+    """Adds the sum of `weight` over a key's rows before this one. The order begins with a timestamp; a key is summed bucket by
+    bucket, and only one row per bucket is summed over the whole key."""
+    rows = df.withColumn("_c", F.date_trunc(bucket, F.col(order[0]).cast("timestamp")))
+    local = Window.partitionBy(*keys, "_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_c").agg(F.sum(weight).alias("_sum"))
+    offsets = sums.select(*keys, "_c", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    out = _join_chunks(rows.withColumn("_own", F.coalesce(F.sum(weight).over(local), F.lit(0))), offsets, [*keys, "_c"])
+    return out.withColumn(name, F.col("_off") + F.col("_own")).drop("_c", "_off", "_own")

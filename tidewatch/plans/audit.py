@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import datasets, drift, evaluate, features, matching, models, quality, scoring
+from tidewatch.operators import datasets, drift, evaluate, features, matching, models, monitor, quality, scoring
 from tidewatch.operators.ordered import exact_quantiles
 from tidewatch.plans.detect import (
-    _KB, _V3, _BTEXT, _wide, ROUTED, among, any_word, b, events, lit, r, r6, scored, se)
+    _KB, _V1, _V1TEXT, _V3, _BTEXT, _wide, ROUTED, among, any_word, b, events, lit, r, r6, scored, se)
 from tidewatch.rules import attack as A
 from tidewatch.rules import detection as D
 from tidewatch.rules import labels as L
 from tidewatch.schema import load
-from tidewatch.session import materialise
+from tidewatch.session import materialise, shared_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -412,12 +412,71 @@ def exact_quantiles_query(spark, sf):
     return out.select("l_returnflag", "n", *[r(F.col("q")[i]).alias(f"q{p}") for i, p in enumerate((0, 25, 50, 90, 100))])
 
 
-@query("drift_check")
+_ALL41 = list(features.V3_NAMES)
+_SLOT = ("CASE WHEN len(e) < 2 OR v < e[1] OR v > e[len(e)] THEN 0 ELSE least(len(list_filter(e, lambda x: x <= v)), len(e) - 1) END")
+_LONG = ", ".join(f'"{c}"' for c in [*_ALL41, "score"])
+_SHARE = lambda m, n: f"greatest({m} / ({n} + 1e-10), 1e-10)"
+DRIFT_CHECKS = (
+    f"f41 AS ({_V3SQL}), {se('event_key', 'event_ts', 'source_type', 'score')}, rw AS (SELECT se.*, f41.* EXCLUDE (event_key) FROM se JOIN f41 "
+    f"USING (event_key)), bs AS (SELECT * FROM rw WHERE event_ts < {_CUT} ORDER BY md5(concat(CAST(event_key AS VARCHAR), ':0')), event_key LIMIT 2000), "
+    f"bu AS (UNPIVOT bs ON {_LONG} INTO NAME feature VALUE v), be AS (SELECT feature, list_sort(list_distinct([" +
+    ", ".join(f"quantile_cont(v, {i / 10})" for i in range(11)) + "])) AS e, count(*) AS n FROM bu GROUP BY 1), "
+    f"bc AS (SELECT feature, {_SLOT} AS bin, count(*) AS m FROM bu JOIN be USING (feature) GROUP BY 1, 2), "
+    "nr AS (SELECT *, row_number() OVER (PARTITION BY source_type ORDER BY event_ts, event_key) AS n, count(*) OVER (PARTITION BY source_type) AS "
+    f"total FROM rw WHERE event_ts >= {_CUT}), un AS (UNPIVOT nr ON {_LONG} INTO NAME feature VALUE v), "
+    f"ub AS (SELECT source_type, (un.n - 1) // 100 + 1 AS block, total // 100 AS last, feature, {_SLOT} AS bin, count(*) AS m FROM un JOIN be USING "
+    "(feature) GROUP BY ALL), uf AS (SELECT source_type, feature, bin, m, unnest(range(block, least(block + 4, last) + 1)) AS c FROM ub WHERE block <= last), "
+    "uc AS (SELECT source_type, c, feature, bin, sum(m) AS m FROM uf GROUP BY ALL), us AS (SELECT source_type, c, feature, sum(m) AS size FROM uc GROUP BY ALL), "
+    "slots AS (SELECT feature, n, unnest(range(1, greatest(len(e), 1))) AS bin FROM be), "
+    f"dp AS (SELECT us.source_type, us.c, us.size, us.feature, coalesce(sum(({_SHARE('coalesce(uc.m, 0)', 'us.size')} - {_SHARE('coalesce(bc.m, 0)', 'slots.n')}) * "
+    f"ln({_SHARE('coalesce(uc.m, 0)', 'us.size')} / {_SHARE('coalesce(bc.m, 0)', 'slots.n')})), 0.0) AS psi FROM us LEFT JOIN slots USING (feature) LEFT JOIN bc ON "
+    "bc.feature = us.feature AND bc.bin = slots.bin LEFT JOIN uc ON uc.source_type = us.source_type AND uc.c = us.c AND uc.feature = us.feature AND uc.bin = "
+    "slots.bin GROUP BY ALL)")
+_PH_HERE = ("px AS (SELECT *, avg(score) OVER w AS m FROM nr WINDOW w AS (PARTITION BY source_type ORDER BY n ROWS UNBOUNDED PRECEDING)), py AS (SELECT *, "
+            "sum(score - m - 0.005) OVER (PARTITION BY source_type ORDER BY n ROWS UNBOUNDED PRECEDING) AS s FROM px), pz AS (SELECT *, s - min(s) OVER "
+            "(PARTITION BY source_type ORDER BY n ROWS UNBOUNDED PRECEDING) AS ph FROM py), pa AS (SELECT source_type, min(n) AS alarm_at FROM pz WHERE ph > 50 "
+            "GROUP BY 1)")
+CHECK_SQL = (
+    f"WITH {DRIFT_CHECKS}, {_PH_HERE}, dc AS (SELECT source_type, c, max(size) AS size, max(CASE WHEN feature = 'score' THEN psi END) AS sp, "
+    "coalesce(max(CASE WHEN feature <> 'score' AND psi > 0.1 THEN psi END), 0.0) AS mx, count(CASE WHEN feature <> 'score' AND psi > 0.25 THEN 1 END) AS hi "
+    "FROM dp GROUP BY 1, 2), fc AS (SELECT source_type, min(c) AS critical_at FROM dc WHERE hi > 0 OR sp > 0.25 GROUP BY 1) SELECT source_type AS stream, "
+    "CAST(c * 100 AS BIGINT) AS n_processed, CAST(size AS BIGINT) AS window_size, coalesce(alarm_at <= c * 100, false) OR coalesce(critical_at < c, false) AS "
+    "ph_drift, round(sp, 4) AS psi_scores, round(mx, 4) AS max_psi, CAST(hi AS INTEGER) AS n_critical, CASE WHEN hi > 0 OR sp > 0.25 THEN 'CRITICAL' WHEN mx > "
+    "0.1 OR sp > 0.1 OR coalesce(alarm_at <= c * 100, false) THEN 'WARNING' ELSE 'none' END AS drift_level FROM dc LEFT JOIN pa USING (source_type) LEFT JOIN "
+    "fc USING (source_type)")
+CHECK_COLUMNS = ("stream", "n_processed", "window_size", "ph_drift", "psi_scores", "max_psi", "n_critical", "drift_level")
+
+
+def monitored(spark, sf):
+    """(events to watch, stored baseline): the baseline of the events before the cut is written, and read back as a version."""
+    named = [r(c).alias(c) for c in _ALL41]
+    df = materialise(v3(spark, sf).select("event_key", "event_ts", F.col("source_type").alias("stream"), "score", *named))
+    base = shared_dir(spark, "baseline")
+    monitor.store_baseline(df.where(F.col("event_ts") < F.expr(_CUT)), "event_key", [*_ALL41, "score"], base)
+    return df.where(F.col("event_ts") >= F.expr(_CUT)), monitor.stored_baseline(spark, base)
+
+
+@query("drift_check", CHECK_SQL)
 def drift_check(spark, sf):
-    """Feature and score indices, level and alarms between the two halves of the stream."""
-    df = materialise(v3(spark, sf).select("event_ts", "score", *_F3))
+    """Every check of each source: 500 last events against the stored baseline, all 100 events."""
+    rows, baseline = monitored(spark, sf)
+    return monitor.check_rows(rows, "stream", ["event_ts", "event_key"], _ALL41, baseline).select(*CHECK_COLUMNS)
+
+
+@query("drift_check_features", f"WITH {DRIFT_CHECKS} SELECT source_type AS stream, CAST(c * 100 AS BIGINT) AS n_processed, feature, round(psi, 4) AS psi FROM dp")
+def drift_check_features(spark, sf):
+    """The stability index of all 41 features and the score at every check."""
+    rows, baseline = monitored(spark, sf)
+    return monitor.feature_checks(rows, "stream", ["event_ts", "event_key"], [*_ALL41, "score"], baseline).select(
+        "stream", "n_processed", "feature", F.round("psi", 4).alias("psi"))
+
+
+@query("drift_halves")
+def drift_halves(spark, sf):
+    """Feature and score indices, level and alarms between the two halves of the stream, all 41 features."""
+    df = materialise(v3(spark, sf).select("event_ts", "score", *_ALL41))
     cut = F.expr(_CUT)
-    return drift.check(df.where(F.col("event_ts") < cut), df.where(F.col("event_ts") >= cut), _F3, "score")
+    return drift.check(df.where(F.col("event_ts") < cut), df.where(F.col("event_ts") >= cut), _ALL41, "score")
 
 
 @query("baseline_profile", f"WITH {se('event_ts', 'score', 'value')}, t AS (SELECT score, value FROM se WHERE event_ts < {_CUT}) SELECT 'score' AS "
@@ -558,18 +617,91 @@ def audit_verdict(spark, sf):
 
 
 # ---------------------------------------------------------------- models
+def learnable(spark, sf):
+    """All 41 features with label, source, split and a validation mark inside the training split."""
+    return materialise(with_split(v3(spark, sf)).select(
+        "event_key", "label", "source_type", "split", (F.pmod(F.xxhash64("event_key"), F.lit(10)) == 0).alias("held"), *_ALL41))
+
+
 @query("boosted_trees")
 def boosted_trees(spark, sf):
-    """Train on the training split, score and evaluate on validation."""
-    df = materialise(with_split(v3(spark, sf)).select("event_key", "label", "source_type", "split", *_F3))
-    model = models.boosted_trees(_F3, "classic", maxIter=5).fit(df.where("split = 'train'"))
-    return evaluate.confusion(models.score(model, df.where("split = 'val'")), "label", "pred")
+    """Every ensemble at full size on all 41 features, stopped by its validation column, evaluated on the held-out split; beside a
+    class-weighted one for comparison."""
+    df = models.with_weights(learnable(spark, sf))
+    train, val = df.where("split = 'train'"), df.where("split = 'val'")
+    out = None
+    for name in ("enterprise", "source_split", "classic", "histogram"):
+        for weight in (None, "weight") if name == "enterprise" else (None,):
+            model = models.boosted_trees(_ALL41, name, weight=weight, validation="held").fit(train)
+            row = evaluate.confusion(models.score(model, val), "label", "pred").withColumns({
+                "model": F.lit(name), "weighted": F.lit(weight is not None), "trees": F.lit(model.stages[-1].getNumTrees)})
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("source_transfer")
+def source_transfer(spark, sf):
+    """Each source left out in turn: trained on the others with all 41 features, evaluated on it. All fits are one job list."""
+    df = learnable(spark, sf)
+    sources = sorted(r.source_type for r in df.select("source_type").distinct().collect())
+    return models.fold_metrics(models.boosted_trees(_ALL41, "audit", validation="held"), df, "source_type", sources)
 
 
 @query("embedding_classes")
 def embedding_classes(spark, sf):
-    """Feed-forward classes of the embedding table, scored in one pass."""
-    _, out = models.embedding_classifier(load(spark, sf, "embeddings"), hidden=(32,), iterations=10)
+    """Feed-forward classes of the embedding table: three layers, evaluated on the fifth of the rows held out."""
+    emb = load(spark, sf, "embeddings").withColumn("held", F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0)
+    _, out = models.embedding_classifier(emb.where("NOT held"), held_out=emb.where("held"))
     return evaluate.class_report(out.withColumn("pred", F.col("prediction").cast("int")), "label", "pred")
 
 
+def heuristic_scorer(rows):
+    """The 18-feature heuristic as a scorer of feature columns: p and pred."""
+    p, label, _, _ = scoring.heuristic18({n: F.col(n) for n in features.V1_NAMES})
+    return rows.withColumns({"p": p, "pred": (label == "malicious").cast("int")})
+
+
+def _heuristic_sql(g):
+    return (f"least(1.0, 0.2 * least({g('has_ps_bypass_flags')}, 4) + 0.15 * {g('has_base64_encoding')} + CASE WHEN {g('cmdline_length_norm')} > 0 THEN 0.2 ELSE 0 "
+            f"END + 0.15 * {g('has_network_indicators')} + 0.15 * {g('has_persistence_indicators')} + 0.1 * {g('has_defense_evasion')} + CASE WHEN "
+            f"{g('script_length_norm')} > 0 THEN 0.15 ELSE 0 END)")
+
+
+_STEP = "CASE " + " ".join(f"WHEN n % {s} <> 0 THEN {s}" for s in models.STEPS) + " END"
+IMPORTANCE_SQL = (
+    f"WITH f18 AS ({_wide(_V1, _V1TEXT)}), {se('event_key', 'label')}, rk AS (SELECT f18.*, label, row_number() OVER (ORDER BY substring(md5(CAST(event_key AS "
+    "VARCHAR)), 1, 13), event_key) - 1 AS i, count(*) OVER () AS n FROM f18 JOIN se USING (event_key)), "
+    f"tk AS (SELECT *, r, (i * {_STEP} + r * 7919 + 1) % n AS donor FROM rk, range(3) t(r)), "
+    f"sh(f) AS (VALUES (''), {', '.join(f'({lit(n)})' for n in features.V1_NAMES)}), "
+    f"pd AS (SELECT sh.f, o.r, CASE WHEN CAST({_heuristic_sql(lambda n: f"CASE WHEN f = {lit(n)} THEN d.{n} ELSE o.{n} END")} AS DOUBLE) >= 0.5 THEN 1 ELSE 0 END AS pred, o.label FROM tk o JOIN rk d ON d.i = o.donor, sh), "
+    "ac AS (SELECT f, r, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS a FROM pd GROUP BY 1, 2), bb AS (SELECT a AS b FROM ac WHERE f = '' AND r = 0) "
+    f"SELECT f AS feature, {r6('avg(b - a)')} AS mean_drop, {r6('stddev_pop(b - a)')} AS std_drop FROM ac, bb WHERE f <> '' GROUP BY 1")
+
+
+def heuristic_importance(spark, sf):
+    rows = features.v1_18(_ev(spark, sf)).select("event_key", "label", *features.V1_NAMES)
+    return models.importance(heuristic_scorer, rows, features.V1_NAMES, "event_key")
+
+
+@query("permutation_importance", IMPORTANCE_SQL)
+def permutation_importance(spark, sf):
+    """Accuracy the heuristic loses by shuffling each feature, three repeats, from one rank table."""
+    return heuristic_importance(spark, sf).select("feature", r("mean_drop").alias("mean_drop"), r("std_drop").alias("std_drop"))
+
+
+@query("top_features", f"SELECT feature, mean_drop FROM ({IMPORTANCE_SQL}) ORDER BY mean_drop DESC, feature LIMIT 15")
+def top_features(spark, sf):
+    """The 15 features whose shuffling costs most."""
+    ranked = heuristic_importance(spark, sf).withColumn("mean_drop", r("mean_drop"))
+    return models.top_features(ranked).select("feature", "mean_drop")
+
+
+@query("local_explanations")
+def local_explanations(spark, sf):
+    """The three strongest local coefficients of the heuristic for every event it calls malicious; tests compare with numpy."""
+    rows = materialise(heuristic_scorer(features.v1_18(_ev(spark, sf))).where("pred = 1").select("event_key", *features.V1_NAMES))
+    return models.local_explanation(heuristic_scorer, rows, features.V1_NAMES, "event_key", top=3)
+
+
+
+

@@ -246,6 +246,107 @@ def incident_report_lines(spark, sf):
         "event_count"))
 
 
+def _says(phase):
+    return any_word(_TXT, N.PHASE_WORDS[phase])
+
+
+_BRIEF = "substring(command_line, 1, 80)"
+_DESCRIPTION = (
+    f"CASE WHEN {_says(N.CREDENTIAL)} THEN concat('Credential dumping: ', process_name, ' executed by ', \"user\", CASE WHEN command_line <> '' THEN "
+    f"concat(' [', {_BRIEF}, ']') ELSE '' END) WHEN {_says(N.EXECUTION)} THEN concat('PowerShell execution by ', \"user\", CASE WHEN "
+    f"{any_word(_TXT, ['-enc', 'base64'])} THEN ' (encoded command)' ELSE '' END) WHEN {_says(N.PERSISTENCE)} THEN concat('Persistence mechanism: ', CASE "
+    f"WHEN command_line <> '' THEN {_BRIEF} ELSE action END) WHEN event_id = 7045 THEN concat('Service installed by ', \"user\") WHEN event_id = 4698 "
+    f"THEN concat('Scheduled task created by ', \"user\") WHEN {_says(N.LATERAL)} THEN concat('Lateral movement: ', process_name, ' → remote execution') "
+    f"WHEN {_says(N.EVASION)} THEN concat('Defense evasion: ', process_name) WHEN {_says(N.C2)} THEN concat('C2 communication: ', process_name) WHEN "
+    f"{_says(N.DISCOVERY)} THEN concat('Discovery: ', CASE WHEN command_line <> '' THEN {_BRIEF} ELSE process_name END) WHEN query_name <> '' AND "
+    "len(list_filter(string_split(query_name, '.'), lambda p: length(p) > 20)) > 0 THEN concat('DNS data exfiltration: ', substring(query_name, 1, 60)) "
+    "WHEN event_id = 4624 THEN concat('Successful logon: ', \"user\", ' (type ', coalesce(CAST(logon_type AS VARCHAR), '?'), ')') WHEN event_id = 4625 "
+    "THEN concat('Failed logon attempt: ', \"user\") WHEN event_id = 4648 THEN concat('Explicit credential use by ', \"user\") WHEN image_loaded <> '' "
+    "THEN concat('DLL loaded: ', image_loaded) WHEN message <> '' THEN message ELSE concat('Event ', CAST(event_id AS VARCHAR), ': ', process_name) END")
+_DASHED = lambda title: f"{lit('-' * 70)}, {lit(title)}, {lit('-' * 70)}"
+_KEEP = {"ip": f"NOT {_PRIV}", "domain": "v NOT IN ('localhost', 'example.com')"}
+_EVENT_LIST = ("list_concat(" + ", ".join(
+    f"list_transform(list_filter(list_transform(regexp_extract_all(txt, {lit(p)}), lambda v: trim(v)), lambda v: v <> '' AND {_KEEP.get(k, 'true')}), lambda v: "
+    f"struct_pack(t := {lit(k)}, v := v))" for k, p in I.IOC_PATTERNS_A.items()) + f", CASE WHEN {_TOOL} THEN [struct_pack(t := 'process', v := process_name)] ELSE [] END)")
+_PICKED = lambda *pairs: "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {v} END" for c, v in pairs) + "], lambda x: x IS NOT NULL)"
+_CAUSES = _PICKED(
+    ("ph = 'Initial Access' AND failed", "'Brute force login attempt detected as initial vector'"),
+    ("opened AND lt = 10", "'Unauthorized RDP access as initial entry point'"),
+    ("opened AND lt = 3", "'Network logon suggesting lateral movement from another host'"),
+    ("opened AND lt NOT IN (3, 10)", "'Suspicious authentication as initial access'"),
+    ("ph = 'Execution' AND contains(lower(pr), 'powershell')", "'PowerShell-based attack, likely delivered via phishing or exploit'"),
+    ("ph = 'Execution' AND NOT contains(lower(pr), 'powershell') AND contains(lower(pr), 'python')", "'Script-based attack using Python runtime'"),
+    ("ph = 'Execution' AND NOT contains(lower(pr), 'powershell') AND NOT contains(lower(pr), 'python') AND contains(lower(pr), 'mshta')",
+     "'HTML Application abuse, likely from malicious link/document'"),
+    ("ph = 'Execution' AND NOT contains(lower(pr), 'powershell') AND NOT contains(lower(pr), 'python') AND NOT contains(lower(pr), 'mshta')",
+     "concat('Suspicious execution of ', pr)"),
+    ("p_exec AND p_pers", "'Attacker established persistence after initial execution'"),
+    ("p_cred", "'Credential harvesting indicates intent for privilege escalation or lateral movement'"))
+_IMPACTS = _PICKED(
+    ("p_cred", "'Credentials may be compromised - password reset required'"), ("p_lat", "'Lateral movement to 1 hosts detected'"),
+    ("p_exfil", "'Data exfiltration suspected - data loss assessment needed'"),
+    ("p_pers", "'Persistence established - host may remain compromised after reboot'"),
+    ("p_c2", "'Active C2 channel - attacker may have ongoing access'"),
+    ("len(privileged) > 0", "concat('Privileged accounts involved: ', array_to_string(privileged, ', '))"))
+_ADVICE = _PICKED(
+    ("true", "'Isolate affected host(s) from network'"), ("p_cred", "'Reset all credentials for affected users'"),
+    ("p_cred", "'Force password change for all accounts on affected hosts'"), ("p_cred", "'Review Active Directory for unauthorized changes'"),
+    ("p_pers", "'Remove all identified persistence mechanisms (scheduled tasks, services, registry keys)'"),
+    ("p_pers", "'Perform full malware scan on affected hosts'"), ("p_lat", "'Scan all hosts in the network segment for compromise indicators'"),
+    ("p_lat", "'Review network segmentation policies'"), ("p_c2", "'Block identified C2 IP addresses and domains at firewall'"),
+    ("p_c2", "'Review proxy logs for additional C2 indicators'"), ("p_exfil", "'Assess scope of data exposure'"),
+    ("p_exfil", "'Review DNS and proxy logs for data exfiltration indicators'"), ("p_exfil", "'Notify data protection officer if PII involved'"),
+    ("len(ips) > 0", "concat('Block external IPs: ', array_to_string(ips, ', '))"), ("true", "'Preserve evidence and forensic artifacts'"),
+    ("true", "'Document incident timeline for post-incident review'"))
+_REPORT = (
+    f"{_FULL}, ev0 AS (SELECT ph0.*, {_COMB} AS txt, {_DESCRIPTION} AS description FROM ph0), ev1 AS (SELECT *, {_EVENT_LIST} AS il FROM ev0), "
+    "kl AS (SELECT event_key, list(id ORDER BY rule_order) AS ids FROM kh GROUP BY 1), "
+    "el AS (SELECT incident_id, event_ts, event_key, list_filter([concat('  ', \"timestamp\", '  ', CASE WHEN ml_score >= 0.8 THEN '[!!!]' WHEN ml_score >= 0.6 "
+    "THEN '[!!]' WHEN ml_score >= 0.4 THEN '[!]' WHEN ml_score >= 0.2 THEN '[.]' ELSE '[i]' END, ' [', phase, ']'), concat('    ', description), CASE WHEN ids IS "
+    "NOT NULL THEN concat('    MITRE: ', array_to_string(ids, ', ')) END, CASE WHEN len(il) > 0 THEN concat('    IoCs: ', array_to_string(list_transform(il[1:3], "
+    "lambda x: concat(x.t, ':', x.v)), ', ')) END, ''], lambda x: x IS NOT NULL) AS lines FROM ev1 LEFT JOIN kl USING (event_key)), "
+    "tll AS (SELECT incident_id, flatten(list(lines ORDER BY event_ts, event_key)) AS tl FROM el GROUP BY 1), "
+    "ix AS (SELECT incident_id, event_ts, event_key, event_id, unnest(il) AS tv, generate_subscripts(il, 1) AS pos FROM ev1), "
+    "i1 AS (SELECT incident_id, event_ts, event_key, pos, tv.t AS t, tv.v AS v, CASE WHEN tv.t = 'process' THEN 'Suspicious tool' ELSE concat('Found in event ', "
+    "CAST(event_id AS VARCHAR)) END AS ctx FROM ix QUALIFY row_number() OVER (PARTITION BY incident_id, tv.t, tv.v ORDER BY event_ts, event_key, pos) = 1), "
+    "i2 AS (SELECT *, row_number() OVER (PARTITION BY incident_id, t ORDER BY event_ts, event_key, pos) AS rn FROM i1), "
+    "i3 AS (SELECT incident_id, t, min(struct_pack(a := event_ts, b := event_key, c := pos)) AS f, list_concat([concat('  [', upper(t), ']')], list(concat('    - ', v, "
+    "' (', ctx, ')') ORDER BY event_ts, event_key, pos)) AS l FROM i2 WHERE rn <= 10 GROUP BY 1, 2), i4 AS (SELECT incident_id, flatten(list(l ORDER BY f)) AS il "
+    "FROM i3 GROUP BY 1), i5 AS (SELECT incident_id, list(v ORDER BY event_ts, event_key, pos) AS ips FROM i2 WHERE t = 'ip' AND rn <= 5 GROUP BY 1), "
+    "m1 AS (SELECT incident_id, id, name, tactic, event_ts, event_key, rule_order FROM ii JOIN kh USING (event_key) QUALIFY row_number() OVER (PARTITION BY incident_id, "
+    "id ORDER BY event_ts, event_key, rule_order) = 1), m2 AS (SELECT incident_id, flatten(list([concat('  ', id, ' - ', name), concat('    Tactic: ', tactic)] ORDER BY "
+    "event_ts, event_key, rule_order)) AS ml FROM m1 GROUP BY 1), "
+    "u1 AS (SELECT incident_id, \"user\" AS u, min(struct_pack(a := event_ts, b := event_key)) AS f FROM ii WHERE \"user\" <> '' GROUP BY 1, 2), u2 AS (SELECT incident_id, "
+    "list(u ORDER BY f) AS users FROM u1 GROUP BY 1), "
+    "fe AS (SELECT incident_id, phase AS ph, event_id AS eid, logon_type AS lt, process_name AS pr, description AS de, contains(CASE WHEN action <> '' THEN action ELSE "
+    "concat('event_', CAST(event_id AS VARCHAR)) END, 'logon_failure') OR contains(CAST(event_id AS VARCHAR), '4625') AS failed FROM ev1 QUALIFY row_number() OVER "
+    "(PARTITION BY incident_id ORDER BY event_ts, event_key) = 1), "
+    "cr AS (SELECT incident_id, min(event_ts) AS created FROM ii GROUP BY 1), "
+    "rp0 AS (SELECT r2.*, created, tl, coalesce(il, []) AS il, coalesce(ips, []) AS ips, ml, coalesce(users, []) AS users, ph, eid, lt, pr, de, failed, ph = 'Initial "
+    "Access' AND NOT failed AND contains(CAST(eid AS VARCHAR), '4624') AS opened, list_filter(coalesce(users, []), lambda x: contains(upper(x), 'ADMIN') OR "
+    "contains(upper(x), 'SYSTEM') OR contains(upper(x), 'ROOT')) AS privileged FROM r2 JOIN tll USING (incident_id) JOIN cr USING (incident_id) JOIN fe USING "
+    "(incident_id) LEFT JOIN i4 USING (incident_id) LEFT JOIN i5 USING (incident_id) LEFT JOIN m2 USING (incident_id) LEFT JOIN u2 USING (incident_id)), "
+    f"rp1 AS (SELECT *, {_CAUSES} AS causes, {_IMPACTS} AS impacts, {_ADVICE} AS advice FROM rp0), "
+    f"rp AS (SELECT incident_id, list_concat([{lit('=' * 70)}, 'INCIDENT INVESTIGATION REPORT', {lit('=' * 70)}, concat('Incident ID:     ', incident_id), "
+    "concat('Host:            ', host), concat('Severity:        ', upper(severity)), concat('Confidence:      ', CAST(CAST(floor(round(confidence * 100, 9) + 0.5) AS "
+    "INTEGER) AS VARCHAR), '%'), 'Status:          investigating', concat('Classification:  ', classification), concat('Created:         ', CAST(created AS VARCHAR)), '', "
+    f"{_DASHED('CLASSIFICATION')}, classification, '', {_DASHED('ATTACK TIMELINE')}], tl, CASE WHEN n_iocs > 0 THEN list_concat([{_DASHED('INDICATORS OF COMPROMISE (IoCs)')}], "
+    f"il, ['']) ELSE [] END, CASE WHEN n_techniques > 0 THEN list_concat([{_DASHED('MITRE ATT&CK MAPPING')}], ml, ['']) ELSE [] END, [{_DASHED('ROOT CAUSE ANALYSIS')}, "
+    "concat('  ', CASE WHEN len(causes) > 0 THEN array_to_string(causes, '. ') ELSE concat('Initial suspicious activity detected: ', substring(de, 1, 100)) END, '.'), '', "
+    f"{_DASHED('IMPACT ASSESSMENT')}, concat('  ', CASE WHEN len(impacts) > 0 THEN array_to_string(impacts, ' | ') ELSE 'Limited impact detected. Further monitoring "
+    "recommended.' END), concat('  Affected hosts: ', host), concat('  Affected users: ', array_to_string(users, ', ')), '', "
+    f"{_DASHED('RECOMMENDED RESPONSE')}], list_transform(advice, lambda x, i: concat('  ', CAST(i AS VARCHAR), '. ', x)), ['', {lit('=' * 70)}]) AS lines FROM rp1)")
+
+
+@query("incident_report_rows", f"WITH {_REPORT} SELECT incident_id, CAST(generate_subscripts(lines, 1) AS BIGINT) AS line_no, unnest(lines) AS text FROM rp")
+def incident_report_rows(spark, sf):
+    """Every line of every investigation report."""
+    from tidewatch.operators.report_rows import report_rows
+
+    inc, tl = investigated(spark, sf)
+    return report_rows(inc, tl).select("incident_id", b("line_no").alias("line_no"), "text")
+
+
 @query("incident_views", f"WITH {_FULL} SELECT incident_id, classification, {big('event_count')} AS event_count FROM r2")
 def incident_views(spark, sf):
     """Short view and analyst context, read back."""

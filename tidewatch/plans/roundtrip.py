@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tidewatch import sinks
 from tidewatch.functions import ioc
 from tidewatch.operators import evaluate, incidents, matching, scoring
+from tidewatch.plans.audit import _ALL41, CHECK_COLUMNS, CHECK_SQL, monitored
 from tidewatch.plans.correlate import _IOCS, sessions_sql
 from tidewatch.plans.detect import events, scored, se
 from tidewatch.plans.oracle_base import ANOMALOUS, ROUTED, big, r6
 from tidewatch.session import materialise, shared_dir
+from tidewatch.sources import incremental
 from tidewatch.sources import normalize as N
 from tidewatch.sources import readers as R
 from tidewatch.streaming import jobs, state
@@ -184,6 +186,21 @@ def _source(spark, sf, *names):
     return spark.readStream.schema(table.schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
 
 
+def _in_time(spark, rows, slices: int = 4):
+    """A stream that brings the rows in time order over several batches: files of up to 200,000 rows, written one after the other,
+    one a trigger."""
+    rows = materialise(rows.withColumn("event_us", F.unix_micros(F.col("event_ts").cast("timestamp"))).withColumn(
+        "event_ts", F.col("event_ts").cast("timestamp")))
+    slices = max(slices, rows.count() // 200_000)
+    bounds = rows.agg(F.percentile_approx("event_us", [i / slices for i in range(1, slices)], 10_000).alias("q")).first().q or []
+    folder, low = shared_dir(spark, "slices"), None
+    for high in [*sorted(set(bounds)), None]:
+        part = rows if low is None else rows.where(F.col("event_us") >= low)
+        (part if high is None else part.where(F.col("event_us") < high)).coalesce(1).write.mode("append").parquet(folder)
+        low = high
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def _drain(df, mode: str):
     """Run a stream until its source is drained; each micro-batch goes to a folder of its own, so a replay leaves one copy."""
     spark = df.sparkSession
@@ -208,21 +225,87 @@ def streamed_counters(spark, sf):
     return last.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
-@query("streamed_incidents", f"WITH {se('event_key', 'event_ts', 'hostname')}, {sessions_sql('se')} SELECT hostname, {big('start_us')} AS start_us, "
-       "epoch_us(max(event_ts)) AS last_us, count(*) AS events FROM ii GROUP BY hostname, start_us")
+# an incident is closed when the next one of its host begins, or when the watermark (10 minutes late) has passed its pause
+_CLOSED = ("CASE WHEN lead(start_us) OVER (PARTITION BY hostname ORDER BY start_us) IS NOT NULL OR last_us // 1000 + 1800001 <= wm THEN 'closed' ELSE 'open' "
+           "END AS status")
+
+
+@query("streamed_incidents", f"WITH {se('event_key', 'event_ts', 'hostname')}, {sessions_sql('se')}, g AS (SELECT hostname, {big('start_us')} AS start_us, "
+       "epoch_us(max(event_ts)) AS last_us, count(*) AS events FROM ii GROUP BY 1, 2), w AS (SELECT epoch_ms(max(event_ts)) - 600000 AS wm FROM se) "
+       f"SELECT hostname, start_us, last_us, events, {_CLOSED} FROM g, w")
 def streamed_incidents(spark, sf):
-    """Live incidents, each as last told."""
-    ev = _source(spark, sf, "event_key", "event_ts", "hostname").withColumn("event_us", F.unix_micros("event_ts")).withWatermark(
-        "event_ts", "10 minutes")
+    """Live incidents over several batches, each as last told: updated while open, closed by the next one or by their timer."""
+    ev = _in_time(spark, events(spark, sf, "event_key", "event_ts", "hostname")).withWatermark("event_ts", "10 minutes")
     out = _drain(state.live_incidents(ev), "update")
-    return out.groupBy("hostname", "start_us").agg(F.max("last_us").alias("last_us"), F.max("events").alias("events"))
+    return out.groupBy("hostname", "start_us").agg(F.max_by(F.struct("last_us", "events", "status"), F.struct(
+        "batch_id", "events", F.col("status") == "closed")).alias("x")).select("hostname", "start_us", "x.*")
+
+
+@query("streamed_incident_table", f"WITH {ROUTED}, ml AS (SELECT * FROM ro WHERE classification = 'malicious'), {sessions_sql('ml')}, g AS (SELECT incident_id, "
+       f"hostname, {big('start_us')} AS start_us, epoch_us(max(event_ts)) AS last_us, count(*) AS events FROM ii GROUP BY 1, 2, 3), w AS (SELECT "
+       f"epoch_ms(max(event_ts)) - 600000 AS wm FROM ml) SELECT incident_id, hostname, last_us, events, {_CLOSED} FROM g, w")
+def streamed_incident_table(spark, sf):
+    """The incident table that a stream of malicious events keeps. Every batch is applied a second time before the deltas are
+    folded into a version and a third time after it: the table must not change."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = materialise(scored(spark, sf).where("classification = 'malicious'").select("event_key", "event_ts", "hostname"))
+    live = state.live_incidents(_in_time(spark, rows).withWatermark("event_ts", "10 minutes"))
+    base = shared_dir(spark, "incidents")
+    jobs.incident_writer(live, base, shared_dir(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    table = jobs.incident_table(spark, base)
+    deltas = spark.read.schema(jobs.INCIDENT_TABLE + ", batch_id long").parquet(f"{base}/deltas")
+    batches = sorted(x.batch_id for x in deltas.select("batch_id").distinct().collect())
+    held = {n: materialise(spark.read.schema(jobs.INCIDENT_TABLE).parquet(f"{base}/deltas/batch_id={n}")) for n in batches}
+    for _ in range(2):
+        for n, rows in held.items():
+            table.apply(rows, n)
+        table.compact()
+    return table.read().select("incident_id", "hostname", "last_us", "events", "status")
+
+
+_RESET = "TIMESTAMP '2024-01-16 00:00:00'"
 
 
-@query("streamed_drift", f"WITH {se('event_key', 'event_ts', 'source_type', 'score')} SELECT source_type AS stream, count(*) AS n, CAST(least(count(*), 500) AS INT) "
-       "AS window_filled FROM se GROUP BY 1")
+@query("streamed_drift", f"WITH {se('event_key', 'event_ts', 'source_type', 'score')}, x AS (SELECT *, row_number() OVER w AS n, avg(score) OVER w AS m FROM se "
+       f"WHERE event_ts > {_RESET} WINDOW w AS (PARTITION BY source_type ORDER BY event_ts, score ROWS UNBOUNDED PRECEDING)), y AS (SELECT *, sum(score - m - 0.005) "
+       "OVER (PARTITION BY source_type ORDER BY n ROWS UNBOUNDED PRECEDING) AS s FROM x), z AS (SELECT *, s - min(s) OVER (PARTITION BY source_type ORDER BY n ROWS "
+       "UNBOUNDED PRECEDING) AS ph FROM y), t AS (SELECT source_type, max(n) AS n, arg_max(ph, n) AS ph, bool_or(ph > 50) AS drift FROM z GROUP BY 1), l AS (SELECT "
+       "source_type, score FROM se QUALIFY row_number() OVER (PARTITION BY source_type ORDER BY event_ts DESC, score DESC) <= 500), q AS (SELECT source_type, CAST("
+       "count(*) AS INT) AS window_filled, avg(score) AS m, stddev_pop(score) AS d FROM l GROUP BY 1) SELECT source_type AS stream, coalesce(n, 0) AS n, "
+       "round(coalesce(ph, 0), 5) AS ph, coalesce(drift, false) AS drift, window_filled, round(m, 5) AS recent_mean, round(d, 5) AS recent_std FROM q LEFT JOIN t "
+       "USING (source_type)")
 def streamed_drift(spark, sf):
-    """The drift monitor per source after the whole stream: scores seen and window size."""
-    rows = _source(spark, sf, "event_key", "event_ts", "source_type", "score").select(
-        F.col("source_type").alias("stream"), F.unix_micros("event_ts").alias("event_us"), F.col("score").alias("value"))
-    out = _drain(state.drift_monitor(rows), "update")
-    return out.groupBy("stream").agg(F.max("n").alias("n"), F.max_by("window_filled", "n").alias("window_filled"))
+    """The drift monitor per source over several batches, with a reset of every source on the way: test, latch and window."""
+    ev = events(spark, sf, "event_key", "event_ts", "source_type", "score").select("event_ts", F.col("source_type").alias("stream"), F.col(
+        "score").cast("double").alias("value"))
+    resets = ev.select("stream").distinct().select(F.expr(_RESET).cast(ev.schema["event_ts"].dataType).alias("event_ts"), "stream", F.lit(None).cast(
+        "double").alias("value"))
+    out = _drain(state.drift_monitor(_in_time(spark, ev.unionByName(resets)).select("stream", "event_us", "value")), "update")
+    last = out.groupBy("stream").agg(F.max_by(F.struct("n", "ph", "drift", "window_filled", "recent_mean", "recent_std"), "batch_id").alias("x"))
+    return last.select("stream", "x.n", F.round("x.ph", 5).alias("ph"), "x.drift", "x.window_filled", F.round("x.recent_mean", 5).alias(
+        "recent_mean"), F.round("x.recent_std", 5).alias("recent_std"))
+
+
+@query("streamed_drift_checks", CHECK_SQL)
+def streamed_drift_checks(spark, sf):
+    """The checks of `drift_check` told by the stream: the ring of the last 500 vectors crosses the batches."""
+    rows, baseline = monitored(spark, sf)
+    stream = _in_time(spark, rows.withColumnRenamed("score", "value")).select("stream", "event_us", "event_key", *_ALL41, "value")
+    return _drain(state.drift_checks(stream, _ALL41, baseline), "append").select(*CHECK_COLUMNS)
+
+
+@query("incremental_records", f"WITH {se('event_key', 'event_ts', 'channel')} SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY event_ts, event_key) AS "
+       "record_no, event_key, 1::BIGINT AS times FROM se")
+def incremental_records(spark, sf):
+    """Records of every channel through the incremental source, stopped after two thirds and started again: each is read once."""
+    rows = materialise(incremental.numbered_records(events(spark, sf, "event_key", "event_ts", "channel"), "channel", ["event_ts", "event_key"], ["event_key"]))
+    size = rows.agg(F.max("record_no")).first()[0]
+    base, checkpoint, folder = (shared_dir(spark, x) for x in ("segments", "offsets", "records"))
+    cut = (size or 0) * 2 // 3
+    for part in (rows.where(F.col("record_no") <= cut), rows.where(F.col("record_no") > cut)):
+        incremental.write_segments(part, base)
+        incremental.record_stream(spark, base).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
+            lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/batch_id={n}")).start().awaitTermination()
+    read = spark.read.schema(incremental.SCHEMA).parquet(folder)
+    return read.groupBy("channel", "record_no", F.get_json_object("body", "$.event_key").cast("bigint").alias("event_key")).agg(
+        F.count(F.lit(1)).alias("times"))

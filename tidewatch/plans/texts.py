@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import ioc
 from tidewatch.functions.text import fold_ascii
-from tidewatch.operators import knowledge, matching, scoring
+from tidewatch.operators import knowledge, matching, scoring, vector_index
+from tidewatch.operators.vector_index import VectorIndex
 from tidewatch.plans.correlate import _IOCS
 from tidewatch.plans.detect import b, events, lit, r, r6, se
 from tidewatch.rules import intel as I
 from tidewatch.schema import load, spread
+from tidewatch.session import shared_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -195,6 +197,49 @@ def knowledge_context(spark, sf):
     return packed.select("query_id", F.when(first != "", first).alias("first_source"))
 
 
+_INDEXED = ("q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, "
+            "list_inner_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings)")
+
+
+@query("indexed_top_k", f"WITH {_INDEXED} SELECT query_id, vec_id, {r6('score')} AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, "
+       "vec_id) <= 5")
+def indexed_top_k(spark, sf):
+    """Exact search through the index, built on four fifths of the rows and appended the rest: every fiftieth row against all."""
+    emb = load(spark, sf, "embeddings")
+    index = VectorIndex(spark, shared_dir(spark, "index")).build(emb.where("vec_id % 5 <> 0")).append(emb.where("vec_id % 5 = 0"))
+    asked = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found, _ = index.search(asked, 5)
+    return found.select("query_id", "vec_id", r("score").alias("score"))
+
+
+_MINOR = "m AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), e AS (SELECT * FROM embeddings JOIN m USING (label) WHERE n < (SELECT max(n) FROM m))"
+
+
+@query("minority_neighbours", f"WITH {_MINOR}, p AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS gap "
+       "FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT vec_id, neighbour, round(gap, 6) AS gap FROM p QUALIFY row_number() OVER (PARTITION BY "
+       "vec_id ORDER BY gap, neighbour) <= 5")
+def minority_neighbours(spark, sf):
+    """The exact five nearest rows of its class for every row of a class smaller than the largest."""
+    emb = load(spark, sf, "embeddings")
+    sizes = {x.label: x.n for x in emb.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    base, out = shared_dir(spark, "classes"), None
+    for name in sorted(k for k, n in sizes.items() if n < max(sizes.values())):
+        part = vector_index.nearest(spark, emb.where(F.col("label") == name).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")),
+                                    "vec_id", "embedding", f"{base}/{name}", 5)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return emb.select("vec_id", F.col("vec_id").alias("neighbour"), F.lit(0.0).alias("gap")).limit(0)
+    return out.select("vec_id", "neighbour", F.round("gap", 6).alias("gap"))
+
+
+@query("balanced_classes", "WITH m AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, CAST((SELECT max(n) FROM m) - n AS BIGINT) AS n, 64::INT AS width "
+       "FROM m WHERE n < (SELECT max(n) FROM m)")
+def balanced_classes(spark, sf):
+    """Interpolated rows per class: as many as it lacks to the largest."""
+    made = vector_index.interpolate(load(spark, sf, "embeddings"), "vec_id", "embedding", "label", shared_dir(spark, "classes"))
+    return made.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width"))
+
+
 # ---------------------------------------------------------------- conversations and other tables
 @query("recent_messages", "SELECT conv_id, turn, role, md5(substring(text, 1, 500)) AS digest FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY "
        "turn DESC) <= 20")

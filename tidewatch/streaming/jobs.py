@@ -10,6 +10,7 @@ from tidewatch.functions.ioc import event_indicators_a
 from tidewatch.operators.incidents import IOC_FIELDS, incident_id, timeline
 from tidewatch.operators.matching import local_intel
 from tidewatch.operators.scoring import route, score_events
+from tidewatch.sinks import KeyedTable
 
 
 def scored_stream(events: DataFrame) -> DataFrame:
@@ -69,3 +70,18 @@ def fan_out(routed: DataFrame, base: str, checkpoint: str) -> DataStreamWriter:
     return routed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+INCIDENT_TABLE = ("incident_id string, hostname string, start_us bigint, last_us bigint, events bigint, status string, closed boolean")
+
+
+def incident_table(spark, base: str) -> KeyedTable:
+    """The stored incidents: of each the row told last (the latest event, the most events, closed after open)."""
+    return KeyedTable(spark, base, INCIDENT_TABLE, "incident_id", ["last_us", "events", "closed"])
+
+
+def incident_writer(live: DataFrame, base: str, checkpoint: str) -> DataStreamWriter:
+    """Live incidents (see streaming.state) into the incident table, beside the event, timeline and indicator tables of
+    `fan_out`. Each micro-batch merges by incident id; a batch that runs twice changes nothing."""
+    rows = live.select(incident_id(F.col("hostname"), F.col("start_us")).alias("incident_id"), "hostname", "start_us", "last_us", "events",
+                       "status", (F.col("status") == "closed").alias("closed"))
+    table = incident_table(live.sparkSession, base)
+    return rows.writeStream.outputMode("update").foreachBatch(table.apply).option("checkpointLocation", checkpoint)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidewatch.operators.drift import DELTA, LAMBDA, WINDOW
+from tidewatch.operators.drift import CHECK_EVERY, CRITICAL, DELTA, LAMBDA, MIN_EVENTS, WARNING, WINDOW
 
 GAP_MS = 30 * 60 * 1000
 
@@ -125,3 +125,71 @@ def drift_monitor(scores: DataFrame) -> DataFrame:
     """Needs stream, event_us and value; value null is a reset request."""
     return scores.groupBy("stream").transformWithStateInPandas(
         DriftMonitor(), outputStructType=DRIFT_SCHEMA, outputMode="Update", timeMode="None")
+
+
+def stability(expected: tuple[np.ndarray, np.ndarray, int], actual: np.ndarray, eps: float = 1e-10) -> float:
+    """Stability index of the values against a stored histogram (edges, counts, n)."""
+    edges, counts, n = expected
+    if len(edges) < 2:
+        return 0.0
+    e = np.maximum(counts / (n + eps), eps)
+    a = np.maximum(np.histogram(actual, edges)[0] / (len(actual) + eps), eps)
+    return float(((a - e) * np.log(a / e)).sum())
+
+
+class DriftChecks(StatefulProcessor):
+    """Per stream: the last 500 vectors in a ring, the sequential test, and a check every 100 events against the baseline.
+
+    The ring is kept as bytes, so a batch reads and writes one state row per stream, however many events it brings.
+    """
+
+    def __init__(self, features: list[str], baseline: dict[str, tuple[np.ndarray, np.ndarray, int]]):
+        self.features, self.baseline = features, baseline
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState(
+            "monitor", "n bigint, mean double, total double, low double, alarmed boolean, latched boolean, ring binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, mean, total, low, alarmed, latched, ring = (
+            self.state.get() if self.state.exists() else (0, 0.0, 0.0, float("inf"), False, False, b""))
+        width = len(self.features) + 1
+        seen = np.frombuffer(bytes(ring), np.float64).reshape(-1, width)
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["event_us", "event_key"], kind="stable")
+        new = frame[[*self.features, "value"]].to_numpy(np.float64)
+        counts = n + np.arange(1, len(new) + 1)
+        means = (n * mean + np.cumsum(new[:, -1])) / counts
+        totals = total + np.cumsum(new[:, -1] - means - DELTA)
+        lows = np.minimum(np.minimum.accumulate(totals), low)
+        alarms = np.logical_or.accumulate(totals - lows > LAMBDA) | alarmed
+        out, every = [], np.concatenate([seen, new])
+        for at in range((-n) % CHECK_EVERY or CHECK_EVERY, len(new) + 1, CHECK_EVERY):
+            window = every[max(0, len(seen) + at - WINDOW):len(seen) + at]
+            if len(window) < MIN_EVENTS:
+                continue
+            psi = [stability(self.baseline[f], window[:, k]) for k, f in enumerate(self.features)]
+            score = stability(self.baseline["score"], window[:, -1])
+            worst = max((x for x in psi if x > WARNING), default=0.0)
+            high, tested = sum(x > CRITICAL for x in psi), bool(alarms[at - 1])
+            level = "CRITICAL" if high or score > CRITICAL else "WARNING" if worst or score > WARNING or tested else "none"
+            out.append((key[0], int(counts[at - 1]), len(window), bool(tested or latched), round(score, 4), round(worst, 4), int(high), level))
+            latched = latched or level == "CRITICAL"
+        if len(new):
+            n, mean, total, low, alarmed = int(counts[-1]), float(means[-1]), float(totals[-1]), float(lows[-1]), bool(alarms[-1])
+        self.state.update((n, mean, total, low, alarmed, bool(latched), every[-WINDOW:].tobytes()))
+        yield pd.DataFrame(out, columns=["stream", "n_processed", "window_size", "ph_drift", "psi_scores", "max_psi", "n_critical", "drift_level"])
+
+    def close(self) -> None:
+        pass
+
+
+CHECK_SCHEMA = ("stream string, n_processed bigint, window_size bigint, ph_drift boolean, psi_scores double, max_psi double, n_critical int, "
+                "drift_level string")
+
+
+def drift_checks(rows: DataFrame, features: list[str], baseline: DataFrame) -> DataFrame:
+    """Needs stream, event_us, event_key, the features and value (the score). The baseline has one row per feature and one for
+    the score, so it travels with the processor."""
+    held = {r.feature: (np.array(r.edges, float), np.array(r.counts, float), r.n) for r in baseline.collect()}
+    return rows.groupBy("stream").transformWithStateInPandas(
+        DriftChecks(features, held), outputStructType=CHECK_SCHEMA, outputMode="Append", timeMode="None")
