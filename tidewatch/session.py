@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -52,6 +53,36 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def working_tables(spark: SparkSession):
+    """Tables that `materialise` writes inside the block are removed at its end, but for those given to the yielded `keep`
+    (as `materialise` returned them).
+
+    For a stage whose result is written: its steps' tables are no longer read then.
+    """
+    mine, kept = [], set()
+    _scopes.append(mine)
+
+    def keep(df):
+        kept.add(df.table_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(mine)
+        for path in mine:
+            if path in kept:
+                if _scopes:
+                    _scopes[-1].append(path)
+            else:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df):
     """Cut lineage by writing the rows to a table in the shared checkpoint folder and reading it back.
 
@@ -60,4 +91,8 @@ def materialise(df):
     """
     path = shared_dir(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.table_path = path
+    return table
