@@ -113,9 +113,13 @@ def fold_metrics(pipeline: Pipeline, df: DataFrame, fold: str, values: list, lab
         held = score(pipeline.fit(df.where(F.col(fold) != v)), df.where(F.col(fold) == v))
         return confusion(held, label, "pred").withColumn("held_out", F.lit(str(v)))
 
+    return reduce(DataFrame.unionByName, side_by_side(df.sparkSession, one, values, parallelism))
+
+
+def side_by_side(spark, fit: Callable, values: list, parallelism: int = 4) -> list:
+    """fit(value) for each of a few values, several at a time: small fits leave most of a cluster idle between their jobs."""
     with ThreadPool(min(parallelism, max(1, len(values)))) as pool:
-        rows = pool.map(inheritable_thread_target(df.sparkSession)(one), values)
-    return reduce(DataFrame.unionByName, rows)
+        return pool.map(inheritable_thread_target(spark)(fit), values)
 
 
 #: Steps of the permutations; the first that shares no factor with the number of rows is used.

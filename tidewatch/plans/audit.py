@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import datasets, drift, evaluate, features, matching, models, monitor, quality, scoring
@@ -629,14 +632,15 @@ def boosted_trees(spark, sf):
     class-weighted one for comparison."""
     df = models.with_weights(learnable(spark, sf))
     train, val = df.where("split = 'train'"), df.where("split = 'val'")
-    out = None
-    for name in ("enterprise", "source_split", "classic", "histogram"):
-        for weight in (None, "weight") if name == "enterprise" else (None,):
-            model = models.boosted_trees(_ALL41, name, weight=weight, validation="held").fit(train)
-            row = evaluate.confusion(models.score(model, val), "label", "pred").withColumns({
-                "model": F.lit(name), "weighted": F.lit(weight is not None), "trees": F.lit(model.stages[-1].getNumTrees)})
-            out = row if out is None else out.unionByName(row)
-    return out
+
+    def one(case):
+        name, weight = case
+        model = models.boosted_trees(_ALL41, name, weight=weight, validation="held").fit(train)
+        return evaluate.confusion(models.score(model, val), "label", "pred").withColumns({
+            "model": F.lit(name), "weighted": F.lit(weight is not None), "trees": F.lit(model.stages[-1].getNumTrees)})
+
+    cases = [("enterprise", None), ("enterprise", "weight"), ("source_split", None), ("classic", None), ("histogram", None)]
+    return reduce(DataFrame.unionByName, models.side_by_side(spark, one, cases, 5))
 
 
 @query("source_transfer")
