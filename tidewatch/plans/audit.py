@@ -170,8 +170,7 @@ def baseline_comparison(spark, sf):
     return evaluate.compare(*m.items()).select("approach", "tp", "fp", "tn", "fn", r("f1_gain").alias("f1_gain"))
 
 
-_F3 = ["kw_count_norm", "susp_process_exact", "base64_encoded", "lsass_credential", "powershell_bypass", "persistence", "defense_evasion",
-       "lateral_movement", "suspicious_port", "external_src_ip", "network_logon"]
+_ALL41 = list(features.V3_NAMES)
 _V3SQL = _wide(_V3, _BTEXT)
 
 
@@ -179,13 +178,18 @@ def v3(spark, sf):
     return features.v3_41(_ev(spark, sf))
 
 
+def v3_rounded(spark, sf, *keep):
+    """All 41 features at the reference's precision."""
+    return v3(spark, sf).select(*keep, *[r(c).alias(c) for c in _ALL41])
+
+
 @query("feature_separation", f"WITH f AS ({_V3SQL}), {se('event_key', 'label')}, j AS (SELECT f.*, label FROM f JOIN se USING (event_key)) " +
        " UNION ALL ".join(
            f"SELECT {lit(c)} AS feature, {r6(f'avg(CASE WHEN label = 0 THEN {c} END)')} AS mean_benign, "
            f"{r6(f'avg(CASE WHEN label = 1 THEN {c} END)')} AS mean_malicious, {r6(f'var_pop({c})')} AS variance, var_pop({c}) < 1e-6 AS "
-           "zero_variance FROM j" for c in _F3))
+           "zero_variance FROM j" for c in _ALL41))
 def feature_separation(spark, sf):
-    out = evaluate.feature_separation(v3(spark, sf), _F3, "label")
+    out = evaluate.feature_separation(v3_rounded(spark, sf, "label"), _ALL41, "label")
     return out.select("feature", *[r(c).alias(c) for c in ("mean_benign", "mean_malicious", "variance")], "zero_variance")
 
 
@@ -195,9 +199,9 @@ def with_split(df):
 
 @query("split_mean_drift", f"WITH f AS ({_V3SQL}) " + " UNION ALL ".join(
     f"SELECT {lit(c)} AS feature, {r6(f'avg(CASE WHEN event_key % 5 <> 0 THEN {c} END)')} AS train_mean, "
-    f"{r6(f'avg(CASE WHEN event_key % 5 = 0 THEN {c} END)')} AS val_mean FROM f" for c in _F3))
+    f"{r6(f'avg(CASE WHEN event_key % 5 = 0 THEN {c} END)')} AS val_mean FROM f" for c in _ALL41))
 def split_mean_drift(spark, sf):
-    return evaluate.mean_drift(with_split(v3(spark, sf)), _F3, "split").select("feature", r("train_mean").alias("train_mean"), r(
+    return evaluate.mean_drift(with_split(v3_rounded(spark, sf, "event_key")), _ALL41, "split").select("feature", r("train_mean").alias("train_mean"), r(
         "val_mean").alias("val_mean"))
 
 
@@ -415,7 +419,6 @@ def exact_quantiles_query(spark, sf):
     return out.select("l_returnflag", "n", *[r(F.col("q")[i]).alias(f"q{p}") for i, p in enumerate((0, 25, 50, 90, 100))])
 
 
-_ALL41 = list(features.V3_NAMES)
 _SLOT = ("CASE WHEN len(e) < 2 OR v < e[1] OR v > e[len(e)] THEN 0 ELSE least(len(list_filter(e, lambda x: x <= v)), len(e) - 1) END")
 _LONG = ", ".join(f'"{c}"' for c in [*_ALL41, "score"])
 _SHARE = lambda m, n: f"greatest({m} / ({n} + 1e-10), 1e-10)"
