@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a token cache may hold before it is emptied; bounds the memory of a Python worker.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_200_000
 WORD_ENTRIES = 250_000
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -68,54 +68,106 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+#: Marks that are a token run of their own behind a word of letters.
+MARKS = ".,;:!?)"
+
+
 class ChunkEncoder:
     """Token ids of whole texts by the tokenizers library, with the ids of repeated chunks cached.
 
     A text is cut only where no token of the tokenizer can span: before a space that a non-space follows for a byte-level
-    vocabulary (its pre-tokens carry a leading space), at blanks and line ends for one that drops white space. The ids of a
-    text are therefore those of its chunks in order.
+    vocabulary (its pre-tokens carry a leading space), at white space for one that drops it. The ids of a text are therefore
+    those of its chunks in order. A batch is cut and told apart in Arrow, each distinct chunk is looked up once, and a new word
+    with a mark behind it is put together from both. `control_tokens`: a control string in a text becomes its special token, as
+    the library does; such texts are encoded whole.
     """
 
-    _odd = re.compile(r" (?:\s|$)")
+    _odd = re.compile(r" (?:\s|$)|\x00")
     _cut = re.compile(r" (?=\S)")
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, control_tokens: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a control string inside a text is plain text
+        self.tokenizer.encode_special_tokens = not control_tokens
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if control_tokens else []
+        self._control = re.compile("|".join(map(re.escape, names))) if names else None
         self.drops_space = drops_space
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _fill(self, cache: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        new = list(chunks.difference(cache))
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-            new = list(chunks)
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast([lead + c for c in part], add_special_tokens=False),
-                                  strict=True):
-                cache[chunk] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        self.cache: dict[str, bytes] = {}
+        self.marks = {m: self._whole(m) for m in MARKS}
+        self.splits_marks = all(self._whole(lead + w + m) == self._whole(lead + w) + self.marks[m]
+                                for lead in ("", " ") for w in ("a", "Zz", "the", "qWerTy") for m in MARKS)
+        # plain letters in either case have the same ids where the tokenizer lower-cases
+        self.folds = all(self._whole(w) == self._whole(w.lower()) for w in ("A", "Zz", "THE", "qWerTy"))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks; unknown ones are encoded together."""
+        cache = self.cache
+        new = [c for c in chunks if c not in cache]
+        if new:
+            if len(cache) + len(new) > CACHE_ENTRIES:
+                cache.clear()
+                new = chunks
+            made, plain = [], []  # chunks that a plainer word and a mark give, and those that the library encodes
+            for c in new:
+                word, mark = (c[:-1], c[-1]) if self.splits_marks and c[-1:] in self.marks else (c, "")
+                if c.isascii() and word.strip(" ").isalpha():
+                    word = word.lower() if self.folds else word
+                    if word != c:
+                        made.append((c, word, mark))
+                        if word not in cache:
+                            plain.append(word)
+                        continue
+                plain.append(c)
+            plain = list(dict.fromkeys(plain))
+            for at in range(0, len(plain), 4096):
+                part = plain[at:at + 4096]
+                for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    cache[chunk] = np.array(got.ids, "<u4").tobytes()
+            for c, word, mark in made:
+                cache[c] = cache[word] + self.marks[mark] if mark else cache[word]
+        return [cache[c] for c in chunks]
+
+    def _slow(self, text: str) -> bytes:
+        """Ids of a text that Arrow's cut does not fit."""
+        if self._control is not None and self._control.search(text):
+            return self._whole(text)
+        head, *rest = self._cut.split(text)
+        chunks = [head, *(" " + c for c in rest)]
+        distinct = list(dict.fromkeys(chunks))
+        known = dict(zip(distinct, self._learn(distinct), strict=True))
+        return b"".join(known[c] for c in chunks)
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Per text the ids as little-endian unsigned 32-bit integers; a null text has none."""
-        if self.drops_space:
-            cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-            self._fill(self.later, set().union(*cut), "")
-            return [b"".join(map(self.later.__getitem__, c)) for c in cut]
-        cut = [self._cut.split(t) if self._odd.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-        heads = [c.pop(0) for c in cut]
-        self._fill(self.first, set(heads), "")
-        self._fill(self.later, set().union(*cut), " ")
-        return [self.first[h] + b"".join(map(self.later.__getitem__, c)) for h, c in zip(heads, cut, strict=True)]
+        values = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "").cast(pa.large_string())
+        plain = values.to_pylist()
+        odd = {i for i, t in enumerate(plain) if (self._control is not None and "<|" in t and self._control.search(t))
+               or (not self.drops_space and self._odd.search(t))}
+        if odd:
+            values = pa.array(["" if i in odd else t for i, t in enumerate(plain)], pa.large_string())
+        cut = pc.ascii_split_whitespace(values) if self.drops_space else pc.split_pattern(
+            pc.replace_substring(values, " ", "\x00 "), "\x00")
+        coded = cut.flatten().dictionary_encode()
+        found = self._learn(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        codes = coded.indices.to_numpy()
+        taken = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        begins = (np.cumsum(sizes) - sizes)[codes]
+        ids = flat[np.arange(ends[-1]) + np.repeat(begins - ends[:-1], taken)].tobytes()
+        at = (ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * 4).tolist()
+        return [self._slow(plain[i]) if i in odd else ids[x:y] for i, (x, y) in enumerate(zip(at, at[1:], strict=False))]
 
 
 @lru_cache(4)
-def chunk_encoder(path: str, drops_space: bool) -> ChunkEncoder:
-    return ChunkEncoder(path, drops_space)
+def chunk_encoder(path: str, drops_space: bool, control_tokens: bool = True) -> ChunkEncoder:
+    return ChunkEncoder(path, drops_space, control_tokens)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterable[pa.RecordBatch]:

@@ -30,7 +30,7 @@ def _pieces(tokenizer: str, end_id: int, capacity: int):
         encoder, end = chunk_encoder(tokenizer, True), np.array([end_id], "<u4").tobytes()
         for b in slices(batches, "text"):
             out = []
-            for doc, got in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist()), strict=True):
+            for doc, got in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text")), strict=True):
                 ids = got + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]

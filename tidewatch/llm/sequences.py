@@ -35,7 +35,7 @@ def _encode(tokenizer: str, end_id: int, width: str):
         encoder = chunk_encoder(tokenizer, False)
         for b in slices(batches, "text"):
             end = np.array([end_id], width).tobytes()
-            ids = [np.frombuffer(x, "<u4").astype(width).tobytes() + end for x in encoder.encode(b.column("text").to_pylist())]
+            ids = [np.frombuffer(x, "<u4").astype(width).tobytes() + end for x in encoder.encode(b.column("text"))]
             n = pa.array([len(x) // np.dtype(width).itemsize for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("doc_id"), n, pa.array(ids, pa.binary())],
                                              ["shard", "doc_id", "n_tokens", "ids"])
