@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, ngram_join, packing, quality, secrets
-from tidewatch.session import materialise, shared_dir
+from tidewatch.session import materialise, shared_dir, working_tables
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier does not reject."""
-    return quality.Classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).kept(docs)
+    with working_tables(spark):  # texts are judged by the model and the limits alone
+        judge = quality.Classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge.kept(docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Documents without words are in no group and stay, as does a row without a doc_id, which nothing could name.
     """
-    groups = materialise(ngram_join.ngram_jaccard_join(docs))
+    with working_tables(spark) as keep:
+        groups = keep(materialise(ngram_join.ngram_jaccard_join(docs)))
     dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
     # the dropped ids grow with the corpus: a merge join at every size, never a broadcast
     kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
