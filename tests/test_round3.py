@@ -3,6 +3,7 @@ incremental source, each against a plain version."""
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_verdict_fixes import Value
-from tidewatch import sinks
+from tidewatch import session, sinks
 from tidewatch.operators import incidents, matching, models, monitor, report_rows, vector_index
 from tidewatch.plans import correlate
 from tidewatch.sources import incremental
@@ -268,3 +269,17 @@ def test_incremental_source_reads_on(spark, tmp_path):
     assert run() == whole(("a b/c", 1, 25), ("z", 1, 3))
     incremental.write_segments(rows(("a b/c", 26, 31), ("new", 1, 12)), base, per_segment=10)
     assert run() == whole(("a b/c", 1, 31), ("z", 1, 3), ("new", 1, 12))
+
+
+# ---------------------------------------------------------------- working tables
+def test_working_tables_go_with_their_scope(spark):
+    with session.working_tables(spark) as outer:
+        with session.working_tables(spark) as keep:
+            gone, stays = session.materialise(spark.range(3)), keep(session.materialise(spark.range(4)))
+        assert not os.path.exists(gone.table_path) and stays.count() == 4
+        last = outer(session.materialise(stays))
+    assert not os.path.exists(stays.table_path) and last.count() == 4
+    with pytest.raises(ValueError), session.working_tables(spark):
+        lost = session.materialise(spark.range(2))
+        raise ValueError
+    assert not os.path.exists(lost.table_path)
