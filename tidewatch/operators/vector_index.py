@@ -2,26 +2,32 @@
 
 Every row of a cell is at most the cell's radius away from its centroid. So no row of it can have an inner product with a query
 above q·c + |q|·radius, nor be nearer than |q - c| - radius. A search reads the most promising cells first, takes the k-th best
-score found, and then reads exactly those other cells whose bound reaches it. Rows are appended to the cells; nothing is rebuilt.
+score found, and then reads exactly those cells whose bound reaches it. Rows meet queries in blocks, by matrix products. Rows are
+appended to the cells; nothing is rebuilt.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.models import side_by_side
 from tidewatch.operators.ordered import top_per_key
 from tidewatch.session import materialise
 
 #: Rows the centroids are fitted to, and the most centroids of an index; both bound what the driver and the tasks hold.
 SAMPLE, MOST_CELLS = 20_000, 2_048
-#: Rows of one cell that meet a query in one task.
-PART_ROWS = 50_000
+#: Rows of one cell that are written by one task; rows of a block, and queries, that meet in one task.
+PART_ROWS, BLOCK_ROWS, SLICE_QUERIES = 50_000, 8_192, 4_096
 SLACK = 1e-9
 
 
@@ -98,72 +104,180 @@ class VectorIndex:
         table = self.spark.read.schema("cell int, radius double, n long, parts int").parquet(f"{self.base}/cells")
         return [tuple(r) for r in table.groupBy("cell").agg(F.max("radius"), F.sum("n"), F.max("parts")).orderBy("cell").collect()]
 
-    def _bounds(self, queries: DataFrame, query_key: str, query_vector: str, k: int) -> DataFrame:
-        """(query, q, cell, parts, bound, first): the best score each cell can hold, and whether the cell is read at once: the cells
-        with the best bounds that hold k rows together, each counted without the query itself."""
-        cells, metric = self._cells(), self.metric
-        numbers = np.array([c for c, _, _, _ in cells], int)
-        radius, rows, parts = (np.array([c[i] for c in cells], float) for i in (1, 2, 3))
+    def _layout(self) -> Layout:
+        cells = self._cells()
+        numbers, radius, rows = (np.array([c[i] for c in cells], t) for i, t in ((0, int), (1, float), (2, int)))
         centroids = self._centroids[numbers] if len(cells) else np.zeros((0, 0))
-        q_type = queries.schema[query_key].dataType.simpleString()
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for at in range(0, len(b), 256):
-                    part = b.iloc[at:at + 256]
-                    if not len(part) or not len(numbers):
-                        continue
-                    q = _matrix(part["q"])
-                    if metric == "inner":
-                        bound = q @ centroids.T + np.sqrt((q * q).sum(1))[:, None] * radius
-                    else:
-                        bound = -np.maximum(_gaps(q, centroids) - radius, 0)
-                    bound = bound + SLACK * (1 + np.abs(bound))
-                    order = np.argsort(-bound, axis=1, kind="stable")
-                    before = np.cumsum(rows[order], axis=1) - rows[order]
-                    first = np.empty(bound.shape, bool)
-                    np.put_along_axis(first, order, before < k + 1, 1)
-                    m = len(numbers)
-                    yield pd.DataFrame({query_key: np.repeat(part[query_key].to_numpy(), m), "cell": np.tile(numbers, len(part)),
-                                        "parts": np.tile(parts.astype(int), len(part)), "bound": bound.ravel(), "first": first.ravel()})
-
-        plain = queries.where(F.col(query_vector).isNotNull()).select(query_key, F.col(query_vector).cast("array<double>").alias("q"))
-        return plain.mapInPandas(run, f"{query_key} {q_type}, cell int, parts int, bound double, first boolean")
-
-    def _score(self) -> Column:
-        if self.metric == "inner":
-            return F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return -F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-
-    def _read(self, probes: DataFrame, vectors: DataFrame, query_key: str, k: int, itself: bool) -> DataFrame:
-        """The k best rows of each query in its probed cells."""
-        rows = self.spark.read.schema(f"{self.key} {self.key_type}, v array<double>, part int, cell int").parquet(f"{self.base}/rows")
-        asked = probes.join(vectors, query_key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        met = asked.select(query_key, "q", "cell", "part").join(rows, ["cell", "part"])
-        if not itself:
-            met = met.where(F.col(self.key) != F.col(query_key))
-        scored = met.select(query_key, self.key, self._score().alias("score"))
-        return top_per_key(scored, [query_key], [F.desc("score"), F.col(self.key)], k, name="rank")
+        # cells are dealt to blocks of about BLOCK_ROWS rows; a larger one is dealt to several by the hash of the key
+        subs, base, free, room = np.maximum(1, -(-rows // BLOCK_ROWS)), [], 0, 0
+        for n, s in zip(rows.tolist(), subs.tolist(), strict=True):
+            if s > 1 or n > room:
+                base.append(free)
+                free, room = free + s, 0 if s > 1 else BLOCK_ROWS - n
+            else:
+                base.append(free - 1)
+                room -= n
+        return Layout(numbers, radius, rows, centroids, np.array(base, int), subs, free, self.metric)
+
+    def _blocks(self, vectors: DataFrame, layout: Layout, query_key: str, k: int) -> DataFrame:
+        """(query, q, floor, block): the queries beside each block that holds a cell they need. Without a floor those are the cells
+        with the best bounds that hold k rows together, each counted without the query itself."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows if len(layout.numbers) else 0, 256):
+                    b = whole.slice(at, 256)
+                    need = layout.needed(_arrow_matrix(b.column("q")), _floors(b), k)
+                    which, cell = np.nonzero(need)
+                    width = layout.subs[cell]
+                    which, cell = np.repeat(which, width), np.repeat(cell, width)
+                    nth = np.arange(len(which)) - np.repeat(np.cumsum(width) - width, width)
+                    pairs = np.unique(np.stack([which, layout.base[cell] + nth]), axis=1)
+                    yield pa.RecordBatch.from_arrays([*(b.column(x).take(pa.array(pairs[0])) for x in (query_key, "q", "floor")), pa.array(
+                        pairs[1].astype(np.int32))], [query_key, "q", "floor", "block"])
+
+        kind = vectors.schema[query_key].dataType.simpleString()
+        return vectors.mapInArrow(run, f"{query_key} {kind}, q array<double>, floor double, block int")
+
+    def _meet(self, vectors: DataFrame, layout: Layout, n: int, query_key: str, k: int, itself: bool) -> DataFrame:
+        """(query, key, score): the k best rows of each query in every block it needs. A task holds a block's rows and a slice of
+        the queries; scores are bounded by matrix products, and those that may be among the k best are computed term by term."""
+        key, metric = self.key, self.metric
+        slices = max(1, -(-n // SLICE_QUERIES))
+        parts = max(1, layout.blocks * slices)
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            names = left[query_key]
+            empty = pa.table([names.slice(0, 0), right[key].slice(0, 0), pa.array([], pa.float64())], [query_key, key, "score"])
+            if not itself:
+                right = right.filter(pc.is_valid(right[key]))
+            if not left.num_rows or not right.num_rows:
+                return empty
+            right = right.sort_by([(key, "ascending")])
+            v = _arrow_matrix(right["v"])
+            keys = pc.unique(right[key])
+            code = pc.index_in(right[key], keys).to_numpy()
+            most = k if itself else k + int(np.bincount(code).max())  # rows of a query's own key are passed over
+            # of equal vectors only the first by key can be found
+            same = np.unique(np.ascontiguousarray(v).view(f"V{v.shape[1] * 8}").ravel(), return_inverse=True)[1]
+            keep = pd.Series(same).groupby(same).cumcount().to_numpy() < most
+            right, v, code = right.filter(pa.array(keep)), v[keep], code[keep]
+            own = None if itself else pc.index_in(names.cast(keys.type), keys).fill_null(-1).to_numpy()
+            q, floors = _arrow_matrix(left["q"]), _floors(left)
+            at, size = np.searchsorted(layout.numbers, right["cell"].to_numpy()), (v * v).sum(1)
+            out = []
+            for lo in range(0, len(q), 256):
+                x, floor = q[lo:lo + 256], floors[lo:lo + 256]
+                rough = x @ v.T
+                slack = SLACK * (1 + (x * x).sum(1) + size.max())
+                if metric != "inner":
+                    rough = 2 * rough - (x * x).sum(1)[:, None] - size
+                    floor = -floor ** 2
+                need = layout.needed(x, floors[lo:lo + 256], k)
+                if not need.all():
+                    rough[~need[:, at]] = -np.inf
+                bar = np.where(np.isnan(floor), -np.inf, floor)
+                if len(v) > most and (rough >= (bar - slack)[:, None]).sum() > 64 * len(x):
+                    bar = np.fmax(bar, np.partition(rough, -most, axis=1)[:, -most])
+                i, j = np.nonzero((rough >= (bar - slack)[:, None]) & (rough > -np.inf))
+                if not itself:
+                    other = own[lo + i] != code[j]
+                    i, j = i[other], j[other]
+                score = np.zeros(len(i))
+                for d in range(v.shape[1]):
+                    a, b = x[i, d], v[j, d]
+                    score += a * b if metric == "inner" else (a - b) ** 2
+                if metric != "inner":
+                    score = -np.sqrt(score)
+                order = np.lexsort((j, -score, i))
+                i, j, score = i[order], j[order], score[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append((lo + i[first], j[first], score[first]))
+            i, j, score = (np.concatenate(c) for c in zip(*out, strict=True))
+            return pa.table([names.take(pa.array(i)), right[key].take(pa.array(j)), pa.array(score)], [query_key, key, "score"])
+
+        places = self.spark.createDataFrame(list(zip(layout.numbers.tolist(), layout.base.tolist(), layout.subs.tolist(), strict=True)),
+                                            "cell int, base int, subs int")
+        rows = self.spark.read.schema(f"{key} {self.key_type}, v array<double>, cell int").parquet(f"{self.base}/rows")
+        rows = rows.join(F.broadcast(places), "cell").select(  # a row per cell: at most MOST_CELLS
+            key, "v", "cell", (F.col("base") + F.pmod(F.xxhash64(key), F.col("subs"))).cast("int").alias("block"))
+        rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(parts, "block", "slice")
+        asked = self._blocks(vectors, layout, query_key, k).withColumn("slice", F.pmod(F.xxhash64(query_key), F.lit(slices)).cast("int"))
+        kind = vectors.schema[query_key].dataType.simpleString()
+        return asked.repartition(parts, "block", "slice").groupBy("block", "slice").cogroup(rows.groupBy("block", "slice")).applyInArrow(
+            meet, f"{query_key} {kind}, {key} {self.key_type}, score double")
 
     def search(self, queries: DataFrame, k: int = 5, query_key: str = "query_id", query_vector: str = "query_vector",
                itself: bool = True) -> tuple[DataFrame, DataFrame]:
         """Exactly the k best rows of every query: (query, key, score, rank); ties by key. And (query, cells_read, cells).
 
-        `itself` false leaves out the row whose key equals the query's. Queries are a table of any size.
+        `itself` false leaves out the row whose key equals the query's. Queries are a table of any size. The first pass reads the
+        cells with the best bounds and gives each query a floor; the second reads all cells whose bound reaches it.
         """
         vectors = materialise(queries.where(F.col(query_vector).isNotNull()).select(
-            query_key, F.col(query_vector).cast("array<double>").alias("q")))
-        bounds = materialise(self._bounds(vectors, query_key, "q", k))
-        one = materialise(self._read(bounds.where("first"), vectors, query_key, k, itself))
+            query_key, F.col(query_vector).cast("array<double>").alias("q"), F.lit(None).cast("double").alias("floor")))
+        n, layout = vectors.count(), self._layout()
+        best = [F.desc("score"), F.col(self.key)]
+        if not layout.blocks:
+            none = vectors.select(query_key, F.lit(None).cast(self.key_type).alias(self.key), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+            return none.limit(0), vectors.select(query_key, F.lit(0).alias("cells_read"), F.lit(0).alias("cells")).limit(0)
+        one = top_per_key(self._meet(vectors, layout, n, query_key, k, itself), [query_key], best, k, name="rank")
         floor = one.groupBy(query_key).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-        rest = bounds.where("NOT first").join(floor, query_key, "left").where("floor IS NULL OR bound >= floor")
-        rest = materialise(rest.select(query_key, "cell", "parts"))
-        two = self._read(rest, vectors, query_key, k, itself)
-        both = one.drop("rank").unionByName(two.drop("rank"))
-        read = bounds.where("first").select(query_key).unionByName(rest.select(query_key)).groupBy(query_key).agg(
-            F.count(F.lit(1)).alias("cells_read"))
-        cells = bounds.groupBy(query_key).agg(F.count(F.lit(1)).alias("cells"))
-        return top_per_key(both, [query_key], [F.desc("score"), F.col(self.key)], k, name="rank"), read.join(cells, query_key)
+        known = materialise(vectors.drop("floor").join(floor, query_key, "left").select(query_key, "q", F.coalesce("floor", F.lit(-math.inf)).alias("floor")))
+        two = self._meet(known, layout, n, query_key, k, itself)
+
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    b = whole.slice(at, 256)
+                    q = _arrow_matrix(b.column("q"))
+                    read = (layout.needed(q, _floors(b), k) | layout.needed(q, np.full(len(q), np.nan), k)).sum(1)
+                    yield pa.RecordBatch.from_arrays([b.column(query_key), pa.array(read), pa.array(np.full(len(q), len(layout.numbers)))],
+                                                     [query_key, "cells_read", "cells"])
+
+        kind = vectors.schema[query_key].dataType.simpleString()
+        return top_per_key(two, [query_key], best, k, name="rank"), known.mapInArrow(told, f"{query_key} {kind}, cells_read long, cells long")
+
+
+class Layout(NamedTuple):
+    """The filled cells of an index (at most MOST_CELLS), and the blocks that their rows are dealt to for a search."""
+
+    numbers: np.ndarray
+    radius: np.ndarray
+    rows: np.ndarray
+    centroids: np.ndarray
+    base: np.ndarray
+    subs: np.ndarray
+    blocks: int
+    metric: str
+
+    def needed(self, q: np.ndarray, floor: np.ndarray, k: int) -> np.ndarray:
+        """Which cells each query has to read: those whose best possible score reaches its floor; without a floor (nan) the cells with
+        the best bounds that hold k rows together, each counted without the query itself."""
+        if self.metric == "inner":
+            bound = q @ self.centroids.T + np.sqrt((q * q).sum(1))[:, None] * self.radius
+        else:
+            bound = -np.maximum(_gaps(q, self.centroids) - self.radius, 0)
+        bound = bound + SLACK * (1 + np.abs(bound))
+        out = bound >= floor[:, None]
+        open_ = np.isnan(floor)
+        if open_.any():
+            order = np.argsort(-bound[open_], axis=1, kind="stable")
+            before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+            first = np.empty(order.shape, bool)
+            np.put_along_axis(first, order, before < k + 1, 1)
+            out[open_] = first
+        return out
+
+
+def _arrow_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(whole, pa.ChunkedArray):
+        whole = pa.concat_arrays(whole.chunks)
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
+
+
+def _floors(b: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return b.column("floor").cast(pa.float64()).fill_null(math.nan).to_numpy()
 
 
 def interpolate(df: DataFrame, key: str, vector: str, label: str, base: str, neighbours: int = 5, seed: int = 0) -> DataFrame:
@@ -171,17 +285,18 @@ def interpolate(df: DataFrame, key: str, vector: str, label: str, base: str, nei
     `neighbours` nearest rows of its class. Classes are few; each has an index of its own, and a row of a class of one stays alone."""
     spark = df.sparkSession
     sizes = [tuple(r) for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()]
-    most, made = max((n for _, n in sizes), default=0), None
-    for j, (name, n) in enumerate(sizes):
-        if n in (most, 1) or name is None:
-            continue
+    most = max((n for _, n in sizes), default=0)
+
+    def one(case: tuple) -> DataFrame:
+        j, name, n = case
         rows = df.where(F.col(label) == name).select(key, F.col(vector).cast("array<double>").alias(vector))
-        near = nearest(spark, rows, key, vector, f"{base}/class-{j}", neighbours)
-        part = _between(rows, near, key, vector, most - n, n, seed).withColumn(label, F.lit(name))
-        made = part if made is None else made.unionByName(part)
-    if made is None:
+        near = materialise(nearest(spark, rows, key, vector, f"{base}/class-{j}", neighbours))
+        return _between(rows, near, key, vector, most - n, n, seed).withColumn(label, F.lit(name))
+
+    made = side_by_side(spark, one, [(j, name, n) for j, (name, n) in enumerate(sizes) if n not in (most, 1) and name is not None])
+    if not made:
         return df.select(label, key, F.lit(1).alias("copy_no"), F.col(vector).cast("array<double>").alias(vector)).limit(0)
-    return made.select(label, key, "copy_no", vector)
+    return reduce(DataFrame.unionByName, made).select(label, key, "copy_no", vector)
 
 
 def nearest(spark: SparkSession, rows: DataFrame, key: str, vector: str, base: str, k: int) -> DataFrame:

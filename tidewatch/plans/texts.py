@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import ioc
 from tidewatch.functions.text import fold_ascii
-from tidewatch.operators import knowledge, matching, scoring, vector_index
+from tidewatch.operators import knowledge, matching, models, scoring, vector_index
 from tidewatch.operators.vector_index import VectorIndex
 from tidewatch.plans.correlate import _IOCS
 from tidewatch.plans.detect import b, events, lit, r, r6, se
@@ -222,14 +225,16 @@ def minority_neighbours(spark, sf):
     """The exact five nearest rows of its class for every row of a class smaller than the largest."""
     emb = load(spark, sf, "embeddings")
     sizes = {x.label: x.n for x in emb.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    base, out = shared_dir(spark, "classes"), None
-    for name in sorted(k for k, n in sizes.items() if n < max(sizes.values())):
-        part = vector_index.nearest(spark, emb.where(F.col("label") == name).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")),
+    base = shared_dir(spark, "classes")
+
+    def one(name):
+        return vector_index.nearest(spark, emb.where(F.col("label") == name).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")),
                                     "vec_id", "embedding", f"{base}/{name}", 5)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+
+    found = models.side_by_side(spark, one, sorted(k for k, n in sizes.items() if n < max(sizes.values())))
+    if not found:
         return emb.select("vec_id", F.col("vec_id").alias("neighbour"), F.lit(0.0).alias("gap")).limit(0)
-    return out.select("vec_id", "neighbour", F.round("gap", 6).alias("gap"))
+    return reduce(DataFrame.unionByName, found).select("vec_id", "neighbour", F.round("gap", 6).alias("gap"))
 
 
 @query("balanced_classes", "WITH m AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, CAST((SELECT max(n) FROM m) - n AS BIGINT) AS n, 64::INT AS width "
