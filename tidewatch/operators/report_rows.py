@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import joined, percent
 from tidewatch.operators.incidents import incident_iocs, top_iocs
-from tidewatch.operators.ordered import running_total
+from tidewatch.operators.ordered import join_grown, running_total
 from tidewatch.rules import incident as N
 
 RULE, DASH = "=" * 70, "-" * 70
@@ -103,13 +103,13 @@ def report_rows(incidents: DataFrame, tl: DataFrame, analyses: DataFrame | None
         "incident_id", "section", (F.lit(first + 1) + F.col("before") + F.col("pos")).alias("line_no"), "text")
     told = {"verdict": "string", "agent_confidence": "double", "summary": "string", "tools_used": "array<string>", "steps": "int",
             "incident_summary": "string"}
-    df = incidents.join(length, "incident_id").join(top_iocs(incident_iocs(tl), IOCS_PER_TYPE, None), "incident_id", "left")
+    df = join_grown(join_grown(incidents, length, "incident_id"), top_iocs(incident_iocs(tl), IOCS_PER_TYPE, None), "incident_id", "left")
     if analyses is None:
         df = df.withColumns({"analysed": F.lit(False)} | {c: F.lit(None).cast(t) for c, t in told.items()})
     else:
         side = analyses.select("incident_id", *[F.col(c).cast(t).alias(c) if c in analyses.columns else F.lit(None).cast(t).alias(c)
                                                 for c, t in told.items()], F.lit(True).alias("analysed"))
-        df = df.join(side, "incident_id", "left")
+        df = join_grown(df, side, "incident_id", "left")
     head = df.select("incident_id", F.posexplode(_head()).alias("pos", "line")).select(
         "incident_id", "line.section", (F.col("pos") + 1).cast("long").alias("line_no"), "line.text")
     tail = df.select("incident_id", "timeline_lines", F.posexplode(_tail()).alias("pos", "line")).select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.ioc import confidence_b, context_b
 from tidewatch.functions.text import joined, listed, percent
-from tidewatch.operators.ordered import top_per_key
+from tidewatch.operators.ordered import join_grown, top_per_key
 from tidewatch.rules import attack as A
 from tidewatch.rules import incident as N
 
@@ -93,7 +93,7 @@ def investigation_report(rolled: DataFrame, tl: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     df = rolled
     for part in (rows, counts, firsts("ip", "first_ips"), firsts("domain", "first_domains"), top):
-        df = df.join(part, "incident_id", "left")
+        df = join_grown(df, part, "incident_id", "left")
     df = findings(df.withColumns({"first_ips": F.coalesce("first_ips", none), "first_domains": F.coalesce(
         "first_domains", none), "n_iocs": F.coalesce("n_iocs", lit(0)), "n_hashes": F.coalesce("n_hashes", lit(0))}))
     rule = "=" * 80
