@@ -31,8 +31,8 @@ from pyspark.taskcontext import TaskContext
 from tidewatch.llm.common import crc_mod, documents, file_system, mix64, parts_for, slices, word_hashes, words_of
 from tidewatch.session import materialise, shared_dir
 
-#: Pairs in a shard; documents of a slice; counts above KEPT are not discounted; bigrams below CUT are not kept.
-SHARD, SLICE, KEPT, CUT = 3_000_000, 8 << 20, 5, 2
+#: Pairs in a shard; documents of a slice; counts above KEPT are not discounted; bigrams below CUT are not kept (1: all are).
+SHARD, SLICE, KEPT, CUT = 2_000_000, 8 << 20, 5, 1
 START, END = np.uint64(1), np.uint64(2)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 STREAM = "shard int, kind int, batch long, docs int, sizes array<int>, trains binary, payload binary"
