@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.ordered import top_per_key
 
 CHUNK_SIZE, OVERLAP = 512, 64
+#: Texts cut at a time, and chunks of one written batch.
+PIECE_BYTES, PIECE_ROWS = 2 << 20, 10_000
 MAX_QUERIES = 1024
 
 
@@ -29,29 +34,48 @@ def cut_points(text: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> lis
     return spans
 
 
+def _chunk_pieces(size: int, overlap: int):
+    """Batches of (key, text, source) to batches of chunks; documents are taken until their texts fill a piece, so what a task
+    holds does not depend on the rows of a batch."""
+    names = ["chunk_index", "char_start", "char_end", "chunk"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.flatnonzero(np.diff(np.cumsum(lengths) // PIECE_BYTES)) + 1
+            for lo, hi in itertools.pairwise([0, *ends.tolist(), b.num_rows]):
+                part, at, rows = b.slice(lo, hi - lo), [], []
+                for n, t in enumerate(part.column(1)):
+                    body, i = (t.as_py() or "").strip(), 0
+                    for start, end in cut_points(body, size, overlap):
+                        piece = body[start:end].strip()
+                        if piece:
+                            at.append(n)
+                            rows.append((i, start, end, piece))
+                            i += 1
+                        if len(rows) == PIECE_ROWS:
+                            yield told(part, at, rows)
+                            at, rows = [], []
+                if rows:
+                    yield told(part, at, rows)
+
+    def told(part: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        own = part.select([0, 2]).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*own.columns, *columns], [part.schema.names[0], "source", *names])
+
+    return run
+
+
 def chunk_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str | None = "source",
                     size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(key, source, chunk_index, char_start, char_end, chunk). Sequential inside one document, so an Arrow map over
     batches of whole documents; there is no shuffle and documents never meet."""
-    cols = [key, text] + ([source] if source else [])
     key_type = df.schema[key].dataType.simpleString()
     schema = f"{key} {key_type}, source string, chunk_index int, char_start int, char_end int, chunk string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            src = b[source] if source else [None] * len(b)
-            for k, t, s in zip(b[key], b[text], src):
-                body = (t or "").strip()
-                i = 0
-                for lo, hi in cut_points(body, size, overlap):
-                    piece = body[lo:hi].strip()
-                    if piece:
-                        rows.append((k, s, i, lo, hi, piece))
-                        i += 1
-            yield pd.DataFrame(rows, columns=[key, "source", "chunk_index", "char_start", "char_end", "chunk"])
-
-    return df.select(*cols).mapInPandas(run, schema)
+    origin = F.col(source).cast("string") if source else F.lit(None).cast("string")
+    return df.select(key, F.col(text).cast("string").alias("_text"), origin.alias("_source")).mapInArrow(_chunk_pieces(size, overlap), schema)
 
 
 def title_from_path(path: Column) -> Column:
