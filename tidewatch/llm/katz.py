@@ -8,9 +8,11 @@ kept, so each context's probabilities add up to one.
 The corpus goes through one shuffle. A task packs the pairs (context, word, document) of a slice of documents into rows per
 shard; contexts are dealt to shards by hash, and those that hold a large share of all pairs (found on a sample, which decides
 placement alone) by context and word, so that no word is a task of its own. The shards are read twice, first to count, then to
-score, and Spark keeps their shuffle files in between. Counts, probabilities, backoff weights and bigram gains are tables
-partitioned by shard in the shared folder; a scoring task reads its own shard's part. A document's score is the sum of what its
-shards add. Nothing is broadcast but a few numbers and the heavy contexts, at most two per shard.
+count again and score, and Spark keeps their shuffle files in between: bigrams are never written. What a shard lacks are the counts
+of its second words. It sends its distinct words, packed, to parts dealt by word, where they meet the counts of the contexts, and
+finds the answers in a file of its own in the shared folder. The sums of the heavy contexts are made shard by shard in between. A
+document's score is the sum of what its shards add. Nothing is sent to all tasks but a few numbers and the heavy contexts, at most
+two per shard.
 
 Words are told apart by 48 bits of a hash. Null, repeated and odd input: a null or empty text is its end alone; a null doc_id
 trains or not by the caller's rule (null counts as training); repeated rows count and are scored each; without training
@@ -19,6 +21,7 @@ documents every token is unknown with probability one; other columns are ignored
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -36,7 +39,9 @@ SHARD, SLICE, KEPT, CUT = 2_000_000, 8 << 20, 5, 1
 START, END = np.uint64(1), np.uint64(2)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 STREAM = "shard int, kind int, batch long, docs int, sizes array<int>, trains binary, payload binary"
-COUNTS = "kind int, shard int, a binary, b binary, c binary, stats array<long>"
+#: Kinds of COUNTS: context counts and distinct words of a shard by part; heavy pairs and statistics of a shard; totals of a part.
+COUNTS = "kind int, part int, shard int, a binary, b binary, stats array<long>"
+CONTEXTS, WORDS, HEAVY, TOTALS = range(4)
 
 
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -85,6 +90,20 @@ def _unpack(sizes: list[int], payload: bytes) -> tuple[np.ndarray, np.ndarray, n
     return v, counts, words[number], doc
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    """64-bit integers, compressed, with their number in front."""
+    return len(x).to_bytes(4, "little") + _codec().compress(_bytes_apart(x) if len(x) else b"", asbytes=True)
+
+
+def _loosen(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    return _bytes_together(np.frombuffer(_codec().decompress(packed[4:], 8 * n, asbytes=True) if n else b"", np.uint8), "<i8", n)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 def _stream(shards: int, heavy: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch, known = TaskContext.get().partitionId() << 32, word_hashes()
@@ -127,13 +146,12 @@ def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return key[order][first], *(x[order][first] for x in rest), total
 
 
-def _count(rows: Iterable) -> Iterator[tuple]:
-    """Of one shard: counts of contexts, of bigrams seen CUT times or more, and how many bigrams have each small count."""
-    pairs, singles, held, shard = [], [], 0, None
+def _counted(rows: Iterable) -> tuple[np.ndarray, ...]:
+    """Of one shard's training texts: contexts and counts; keys, contexts, words and counts of bigrams seen CUT times or more; how
+    many bigrams have each small count."""
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    pairs, singles, held = [(none[0], *none[:1] * 2, none[1])], [none], 0
     for r in rows:
-        if r.kind:
-            continue
-        shard = r.shard
         v, n, w, doc = _unpack(r.sizes, r.payload)
         train = np.unpackbits(np.frombuffer(r.trains, np.uint8), count=r.docs).astype(bool)[doc]
         v = np.repeat(v, n)[train]
@@ -146,25 +164,97 @@ def _count(rows: Iterable) -> Iterator[tuple]:
         if held > SHARD // 8:
             pairs, singles = [_merge(pairs)], [_merge(singles)]
             held = len(pairs[0][0])
-    if shard is None:
-        return
-    v, c = _merge(singles)
-    yield 0, shard, v.tobytes(), b"", c.tobytes(), []
-    _, v, w, c = _merge(pairs)
-    stats = np.bincount(np.minimum(c, KEPT + 2), minlength=KEPT + 3)[1:KEPT + 2].tolist()
-    keep = c >= CUT
-    v, w, c = v[keep], w[keep], c[keep]
-    order = np.argsort(v, kind="stable")
-    yield 1, shard, v[order].tobytes(), w[order].tobytes(), c[order].tobytes(), stats
-
-
-def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for r in b.to_pylist():
-            v, c = (np.frombuffer(r[x], np.int64) for x in "ac")
-            w = np.frombuffer(r["b"], np.int64) if r["kind"] else np.zeros(len(v), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), r["shard"], np.int32)), pa.array(v), pa.array(w), pa.array(c)],
-                                             ["shard", "v", "w", "c"])
+    pairs, singles = _merge(pairs), _merge(singles)
+    seen = np.bincount(np.minimum(pairs[-1], KEPT + 2), minlength=KEPT + 3)[1:KEPT + 2]
+    if CUT > 1:
+        pairs = tuple(x[pairs[-1] >= CUT] for x in pairs)
+    return *singles, *pairs, seen
+
+
+def _dealt(words: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of distinct words by part and value, and (part, from, to) of the parts that have any."""
+    part = (mix64(words) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((words, part))
+    part = part[order]
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return order, [(int(part[lo]), lo, hi) for lo, hi in itertools.pairwise(cuts) if hi > lo]
+
+
+def _listed(w: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+    """Distinct words in the order of `_dealt`, its parts, and the place of each word in that list."""
+    words, number = np.unique(w, return_inverse=True)
+    order, dealt = _dealt(words, parts)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return words[order], dealt, place[number]
+
+
+def _count(parts: int, heavy: np.ndarray):
+    """Of one shard: what the parts need (context counts, distinct words), and the pairs of heavy contexts by place of the word."""
+    def run(rows: Iterable) -> Iterator[tuple]:
+        rows = iter(rows)
+        first = next(rows, None)
+        if first is None:
+            return
+        shard = first.shard
+        contexts, counts, _, v, w, c, seen = _counted(r for r in itertools.chain([first], rows) if not r.kind)
+        order, dealt = _dealt(contexts, parts)
+        contexts, counts = contexts[order], counts[order]
+        for part, lo, hi in dealt:
+            yield CONTEXTS, part, shard, _squeeze(_steps(contexts[lo:hi])), _squeeze(counts[lo:hi]), []
+        words, dealt, place = _listed(w, parts)
+        for part, lo, hi in dealt:
+            yield WORDS, part, shard, _squeeze(_steps(words[lo:hi])), b"", []
+        wide = np.isin(v, heavy)
+        which, c = np.searchsorted(heavy, v[wide]), c[wide]
+        sums = np.bincount(which * (KEPT + 1) + np.minimum(c, KEPT + 1) - 1, np.where(c > KEPT, c, 1), len(heavy) * (KEPT + 1))
+        yield (HEAVY, 0, shard, _squeeze(_steps(np.sort(which * max(1, len(words)) + place[wide]))), _squeeze(sums.astype(np.int64)),
+               [len(words), *seen.tolist()])
+
+    return run
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
+
+
+def _answer(heavy: np.ndarray, ends: int):
+    """Of one part: the counts of each shard's words, in their order; totals and the counts of heavy contexts."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted, asked, part = [(np.empty(0, np.uint64), np.empty(0, np.int64))], [], None
+        for b in batches:
+            for r in b.to_pylist():
+                part = r["part"]
+                if r["kind"] == CONTEXTS:
+                    counted.append((np.cumsum(_loosen(r["a"])).view(np.uint64), _loosen(r["b"])))
+                else:
+                    asked.append((r["shard"], r["a"]))
+        if part is None:
+            return
+        v, c = _merge(counted)
+        word, wide = v != START, np.isin(v, heavy)
+        low = [int((word & (c == r)).sum()) for r in range(1, KEPT + 2)]
+        yield _batch([(TOTALS, part, 0, v[wide].tobytes(), c[wide].tobytes(), [int(c[word].sum()), int(word.sum()), *low])], COUNTS)
+        at = np.searchsorted(v, END)  # the end is no context
+        v, c = np.insert(v, at, END), np.insert(c, at, ends)
+        for shard, packed in asked:
+            words = np.cumsum(_loosen(packed)).view(np.uint64)
+            yield _batch([(WORDS, part, shard, _squeeze(c[np.searchsorted(v, words)]), b"", [])], COUNTS)
+
+    return run
+
+
+def _word_counts(folder: str, shard: int) -> np.ndarray:
+    """The counts of a shard's distinct words, in the order of `_listed`."""
+    import pyarrow.dataset as ds
+
+    store, root = file_system(f"{folder}/shard={shard}")
+    if store.get_file_info(root).type.name != "Directory":
+        return np.empty(0, np.int64)
+    rows = ds.dataset(root, filesystem=store, format="parquet").to_table().to_pylist()
+    return np.concatenate([_loosen(r["a"]) for r in sorted(rows, key=lambda r: r["part"])])
 
 
 def discounts(seen: list[int]) -> list[float]:
@@ -214,56 +304,57 @@ def weights(count: np.ndarray, kept: np.ndarray, mass: np.ndarray) -> tuple[np.n
     return (1 - factor * share) / (1 - mass), factor
 
 
-TABLE = "shard int, contexts binary, counts binary, alphas binary, pairs binary, gains binary"
+HEAVY_SUMS = "heavy int, kept double, mass double"
 
 
-def _tables(numbers: Numbers):
-    """Of one shard, from its contexts (w = 0) and kept bigrams (v, w, c, count of w): what scoring looks up."""
+def _heavy_sums(numbers: Numbers, folder: str):
+    """What each shard holds of the heavy contexts' discounted counts and of their words' unigram mass."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(x).to_numpy() for x in ("shard", "v", "w", "c", "cw")] for b in batches if b.num_rows]
-        if not parts:
-            return
-        shard, v, w, c, cw = (np.concatenate(x) for x in zip(*parts, strict=True))
-        v, w = v.view(np.uint64), w.view(np.uint64)
-        single = w == 0
-        order = np.argsort(v[single])
-        contexts, counts = v[single][order], c[single][order]
-        v, w, c, cw = v[~single], w[~single], c[~single], cw[~single]
-        at = np.searchsorted(contexts, v)
-        below = numbers.unigram(cw)
-        gain = numbers.factor(numbers.two, c) * c
-        kept, mass = np.bincount(at, gain, len(contexts)), np.bincount(at, below, len(contexts))
-        for k in np.flatnonzero(np.isin(contexts, np.array(list(numbers.heavy), np.uint64))).tolist():
-            counts[k], kept[k], mass[k] = numbers.heavy[int(contexts[k])]
-        alpha, factor = weights(counts, kept, mass)
-        value = np.log10(factor[at] * gain / counts[at]) - np.log10(alpha[at]) - np.log10(below)
-        pairs = _pair(v, w)
-        order = np.argsort(pairs)
-        blobs = (contexts, counts, np.log10(alpha), pairs[order], value[order].astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array([int(shard[0])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)],
-                                         [x.split()[0] for x in TABLE.split(", ")])
+        factors = np.array([*(f * r for r, f in enumerate(numbers.two, 1)), 1.0])
+        for b in batches:
+            for r in b.to_pylist():
+                kept = _loosen(r["b"]).reshape(-1, KEPT + 1) @ factors
+                which, place = np.divmod(np.cumsum(_loosen(r["a"])), max(1, r["stats"][0]))
+                mass = np.bincount(which, numbers.unigram(_word_counts(folder, r["shard"])[place]), len(kept))
+                there = np.flatnonzero(kept > 0)
+                if len(there):
+                    yield _batch(list(zip(there.tolist(), kept[there].tolist(), mass[there].tolist(), strict=True)), HEAVY_SUMS)
 
     return run
 
 
-def _score(numbers: Numbers, folder: str):
+def _table(numbers: Numbers, rows: list, parts: int, counts_of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of one shard: contexts, counts, logs of alpha; keys of kept bigrams and their gains over backing off."""
+    contexts, counts, pairs, v, w, c, _ = _counted(rows)
+    heavy = np.array(sorted(numbers.heavy), np.uint64)
+    own = ~np.isin(contexts, heavy)
+    contexts, counts = np.concatenate([contexts[own], heavy]), np.concatenate([counts[own], np.zeros(len(heavy), np.int64)])
+    order = np.argsort(contexts)
+    contexts, counts = contexts[order], counts[order]
+    at = np.searchsorted(contexts, v)
+    below = numbers.unigram(counts_of[_listed(w, parts)[2]]) if len(w) else np.empty(0)
+    gain = numbers.factor(numbers.two, c) * c
+    kept, mass = np.bincount(at, gain, len(contexts)), np.bincount(at, below, len(contexts))
+    for k in np.searchsorted(contexts, heavy).tolist():
+        counts[k], kept[k], mass[k] = numbers.heavy[int(contexts[k])]
+    alpha, factor = weights(counts, kept, mass)
+    gains = np.log10(factor[at] * gain / counts[at]) - np.log10(alpha[at]) - np.log10(below)
+    return contexts, counts, np.log10(alpha), pairs, gains.astype(np.float32)
+
+
+def _score(numbers: Numbers, parts: int, folder: str):
     """Rows per shard and batch: documents and what the shard adds to their scores."""
     def run(rows: Iterable) -> Iterator[tuple]:
-        import pyarrow.dataset as ds
-
-        table = None
+        packed = []
         for r in rows:
             if r.kind:
                 yield r.batch, r.docs, True, r.trains, r.payload, b"", b""
-                continue
-            if table is None:
-                store, root = file_system(f"{folder}/shard={r.shard}")
-                there = store.get_file_info(root).type.name == "Directory"
-                got = ds.dataset(root, filesystem=store, format="parquet").to_table().to_pylist() if there else []
-                kinds = (np.uint64, np.int64, np.float64, np.uint64, np.float32)
-                table = [np.frombuffer(got[0][n] if got else b"", k) for n, k in
-                         zip(("contexts", "counts", "alphas", "pairs", "gains"), kinds, strict=True)]
-            contexts, counts, alphas, pairs, gains = table
+            else:
+                packed.append(r)
+        if not packed:
+            return
+        contexts, counts, alphas, pairs, gains = _table(numbers, packed, parts, _word_counts(folder, packed[0].shard))
+        for r in packed:
             v, n, w, doc = _unpack(r.sizes, r.payload)
             at = np.searchsorted(contexts, v)
             hit = at < len(contexts)
@@ -341,7 +432,7 @@ def heavy_contexts(plain: DataFrame, rows: int, shards: int, sample: int = 4000)
     counts = materialise(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
     share = counts.where(F.col("n") * 2 * shards > total)
-    return np.array([START, *(r.v for r in share.select("v").toLocalIterator())], np.uint64)
+    return np.unique(np.array([START, *(r.v for r in share.select("v").toLocalIterator())], np.uint64))
 
 
 def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -355,54 +446,37 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     heavy = heavy_contexts(plain, rows, shards)
     # an RDD, because its shuffle files serve both passes; a DataFrame would write them twice
     sharded = plain.mapInArrow(_stream(shards, heavy), STREAM).repartitionById(shards, "shard").rdd
-    counted = materialise(spark.createDataFrame(sharded.mapPartitions(_count), COUNTS, verifySchema=False))
-    rows_of = "shard int, v long, w long, c long"
-    singles = materialise(counted.where("kind = 0").mapInArrow(_counted, rows_of).groupBy("v").agg(F.sum("c").alias("c")))
-    bigrams = counted.where("kind = 1").mapInArrow(_counted, rows_of)
-    word = F.col("v") != int(START)
-    low = [F.sum((word & (F.col("c") == r)).cast("long")) for r in range(1, KEPT + 2)]
-    tokens, types, *seen = (x or 0 for x in singles.agg(F.sum(F.when(word, F.col("c"))), F.sum(word.cast("long")), *low).first())
+    parts = parts_for(spark, (size or 0) / 6, 8 * SHARD)
+    counted = materialise(spark.createDataFrame(sharded.mapPartitions(_count(parts, heavy)), COUNTS, verifySchema=False))
+
+    def summed(rows: DataFrame) -> list[int]:
+        got = rows.select(F.posexplode("stats").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()
+        return [n for _, n in sorted((r.i, r.n) for r in got)]
+
+    folder = shared_dir(spark, "katz")
+    asked = counted.where(f"kind IN ({CONTEXTS}, {WORDS})").repartitionById(parts, "part")
+    answered = materialise(asked.mapInArrow(_answer(heavy, ends), COUNTS))
+    answered.where(f"kind = {WORDS}").select("shard", "part", "a").repartitionById(shards, "shard").write.partitionBy("shard").parquet(folder)
+    totals = answered.where(f"kind = {TOTALS}")
+    tokens, types, *seen = summed(totals) or [0] * (KEPT + 3)
     if ends:
         tokens, types = tokens + ends, types + 1
         if ends <= KEPT + 1:
             seen[ends - 1] += 1
     one = discounts(seen)
     left = sum((1 - f) * r * n for r, (f, n) in enumerate(zip(one, seen, strict=False), 1))
-    stats = counted.where("kind = 1").select(F.posexplode("stats").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
-    two_seen = [dict((x.r, x.n) for x in stats).get(r, 0) for r in range(KEPT + 1)]
+    two_seen = summed(counted.where(f"kind = {HEAVY}"))[1:] or [0] * (KEPT + 1)
     two = [0.0] * (CUT - 1) + discounts(two_seen)[CUT - 1:]
     numbers = Numbers(tokens, types, one, two, left / tokens if tokens else 1.0, {})
 
-    counts_of = singles.where(word).select(F.col("v").alias("w"), F.col("c").alias("cw")).unionByName(
-        spark.range(1).select(F.lit(int(END)).cast("long").alias("w"), F.lit(ends).cast("long").alias("cw")))
-    full = bigrams.join(counts_of, "w").select("shard", "v", "w", "c", "cw")
-
-    def factor(table: list[float], c: Column) -> Column:
-        return F.when(c > KEPT, 1.0).otherwise(F.element_at(F.lit(table), F.least(c, F.lit(KEPT)).cast("int")))
-
-    ids = [int(x) for x in heavy]
-    heavy_counts = {r.v: r.c for r in singles.where(F.col("v").isin(ids)).collect()}  # at most 2 * shards + 1
-    sums = full.where(F.col("v").isin(ids)).groupBy("v").agg(
-        F.sum(factor(two, F.col("c")) * F.col("c")).alias("kept"),
-        F.sum(factor(one, F.col("cw")) * F.col("cw") / max(1, tokens)).alias("mass")).collect()
-    kept = {r.v: (r.kept, r.mass) for r in sums}
+    sums = counted.where(f"kind = {HEAVY}").mapInArrow(_heavy_sums(numbers, folder), HEAVY_SUMS).groupBy("heavy").agg(
+        F.sum("kept").alias("kept"), F.sum("mass").alias("mass")).collect()
+    kept = {int(heavy[r.heavy]): (r.kept, r.mass) for r in sums}
+    wide = [np.frombuffer(x, np.uint64 if n == "a" else np.int64) for r in totals.where("length(a) > 0").select("a", "b").collect()
+            for n, x in r.asDict().items()]  # heavy contexts: at most 2 * shards + 1
+    heavy_counts = {int(v): int(c) for vs, cs in zip(wide[::2], wide[1::2], strict=True) for v, c in zip(vs, cs, strict=True)}
     numbers = numbers._replace(heavy={v: (c, *kept.get(v, (0.0, 0.0))) for v, c in heavy_counts.items()})
-
-    def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Contexts in their shards; heavy ones in all."""
-        for b in batches:
-            v, c = b.column("v").to_numpy(), b.column("c").to_numpy()
-            wide = np.isin(v.view(np.uint64), heavy)
-            shard = np.concatenate([_shard(v[~wide].view(np.uint64), v[~wide].view(np.uint64), heavy, shards),
-                                    np.repeat(np.arange(shards), wide.sum())])
-            v, c = np.concatenate([v[~wide], np.tile(v[wide], shards)]), np.concatenate([c[~wide], np.tile(c[wide], shards)])
-            zero = pa.array(np.zeros(len(v), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(v), zero, pa.array(c), zero], ["shard", "v", "w", "c", "cw"])
-
-    contexts = singles.mapInArrow(placed, rows_of + ", cw long")
-    folder = shared_dir(spark, "katz")
-    full.unionByName(contexts).repartitionById(shards, "shard").mapInArrow(_tables(numbers), TABLE).write.partitionBy("shard").parquet(folder)
-    partial = spark.createDataFrame(sharded.mapPartitions(_score(numbers, folder)), PARTIAL, verifySchema=False)
+    partial = spark.createDataFrame(sharded.mapPartitions(_score(numbers, parts, folder)), PARTIAL, verifySchema=False)
     ordered = partial.repartition(shards, "batch").sortWithinPartitions("batch")
     return ordered.mapInArrow(_finish(numbers, ends), OUT)
 
