@@ -87,7 +87,7 @@ def read_parallel_labels(spark: SparkSession, events_path: str, labels_path: str
         return files.select("pair", F.size("a").alias(size), "a")
 
     events, labels = load(events_path, inner, "n_events"), load(labels_path, "string", "n_labels")
-    if events.count() == 1 == labels.count():  # two single files pair whatever their names
+    if all(len(x.select("pair").take(2)) == 1 for x in (events, labels)):  # two single files pair whatever their names
         events, labels = (x.withColumn("pair", F.lit("")) for x in (events, labels))
     pairs = events.withColumnRenamed("a", "e").join(labels.withColumnRenamed("a", "l"), "pair", "full_outer")
     fits = F.coalesce(F.col("n_events") == F.col("n_labels"), F.lit(False))
