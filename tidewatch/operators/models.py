@@ -5,14 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,9 +17,10 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.boosting import BoostedTrees, fit_together
 from tidewatch.operators.evaluate import confusion, roc_auc
 from tidewatch.operators.ordered import global_rank, hash_unit
-from tidewatch.session import materialise
+from tidewatch.session import materialise, side_by_side
 
 # Sizes of the trained ensembles. Where a validation column is given, training stops when it no longer improves.
 CONFIGS = {
@@ -51,7 +49,7 @@ def assembler(features: list[str]) -> list:
 
 def boosted_trees(features: list[str], config: str = "enterprise", label: str = "label", weight: str | None = None,
                   validation: str | None = None, seed: int = 42, **override) -> Pipeline:
-    gbt = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, **(CONFIGS[config] | override))
+    gbt = BoostedTrees(labelCol=label, featuresCol="features", seed=seed, **(CONFIGS[config] | override))
     if weight:
         gbt = gbt.setWeightCol(weight)
     if validation:
@@ -109,17 +107,23 @@ def cross_validate(pipeline: Pipeline, df: DataFrame, folds: int = 5, fold: str
 def fold_metrics(pipeline: Pipeline, df: DataFrame, fold: str, values: list, label: str = "label", parallelism: int = 4) -> DataFrame:
     """Leave one value of `fold` out at a time (folds, groups or sources): one metrics row each. The fits of all values are one job
     list, so a cluster works on several at a time; `values` are the few names of folds, groups or sources."""
-    def one(v) -> DataFrame:
-        held = score(pipeline.fit(df.where(F.col(fold) != v)), df.where(F.col(fold) == v))
-        return confusion(held, label, "pred").withColumn("held_out", F.lit(str(v)))
+    fitted = fit_all([pipeline] * len(values), [df.where(F.col(fold) != v) for v in values], parallelism)
+    return reduce(DataFrame.unionByName, [
+        confusion(score(model, df.where(F.col(fold) == v)), label, "pred").withColumn("held_out", F.lit(str(v)))
+        for model, v in zip(fitted, values)])
 
-    return reduce(DataFrame.unionByName, side_by_side(df.sparkSession, one, values, parallelism))
 
+def fit_all(pipelines: list[Pipeline], tables: list[DataFrame], parallelism: int = 4) -> list[PipelineModel]:
+    """One model per pipeline and its table: the fits are one job list. Boosted trees also share the jobs of their levels."""
+    if not all(isinstance(p.getStages()[-1], BoostedTrees) for p in pipelines):
+        return side_by_side(tables[0].sparkSession, lambda case: case[0].fit(case[1]), list(zip(pipelines, tables)), parallelism)
 
-def side_by_side(spark, fit: Callable, values: list, parallelism: int = 4) -> list:
-    """fit(value) for each of a few values, several at a time: small fits leave most of a cluster idle between their jobs."""
-    with ThreadPool(min(parallelism, max(1, len(values)))) as pool:
-        return pool.map(inheritable_thread_target(spark)(fit), values)
+    def prepare(case):
+        return Pipeline(stages=case[0].getStages()[:-1]).fit(case[1])
+
+    ready = side_by_side(tables[0].sparkSession, prepare, list(zip(pipelines, tables)), parallelism)
+    fitted = fit_together([p.getStages()[-1] for p in pipelines], [r.transform(t) for r, t in zip(ready, tables)])
+    return [PipelineModel([*r.stages, f]) for r, f in zip(ready, fitted)]
 
 
 #: Steps of the permutations; the first that shares no factor with the number of rows is used.
