@@ -67,7 +67,7 @@ def test_wide_features_samples_and_nothing_to_learn(spark, rows, monkeypatch):
 
 
 def test_fits_share_one_job_a_level(spark, rows):
-    """Fits of different sizes give what each gives alone, in the jobs of the deepest; Spark's own ran several jobs a level and fit."""
+    """Fits of different sizes give what each gives alone, in the jobs of the deepest."""
     sc = spark.sparkContext
     cases = [("histogram", dict(maxIter=10, maxDepth=3)), ("classic", dict(maxIter=4, maxDepth=2)), ("audit", dict(maxIter=6, maxDepth=3))]
     pipes = [models.boosted_trees(NAMES, name, validation="held", **case) for name, case in cases]
